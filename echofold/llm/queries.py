@@ -34,4 +34,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_batches(units, min_report=8).select("unit_id", "original_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import encoded
+
+    return encoded(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "ids")
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a message (same message id, or the same text where it has none) don't share a container."""
+    from .packing import packed
+    from .tokens import encoded
+
+    documents = table(spark, sf_dir, "documents")
+    sizes = encoded(documents, count=True).select(F.col("id").alias("doc_id"), "n")
+    items = documents.select("doc_id", "source", F.coalesce("message_id", F.xxhash64("text").cast("string")).alias("cluster")).join(sizes, "doc_id")
+    return packed(items, id="doc_id", size="n", source="source", cluster="cluster").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).where("kind not in ('prose', 'empty')").select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found)}
