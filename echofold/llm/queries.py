@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_records(units, id="unit_id", group="lang", values="fps", theta=0.8).select("a", "b")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .authorship import not_hand_written
+
+    return not_hand_written(table(spark, sf_dir, "files")).select("file_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .components import grouped
 
@@ -57,4 +63,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).where("kind not in ('prose', 'empty')").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found)}
