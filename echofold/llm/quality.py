@@ -129,7 +129,7 @@ def text_stats(message: str | None) -> tuple | None:
     kind = "prose"
     if share <= 0.5:
         kind = "list" if bullets > 0.5 else "junk"
-    if top2 > 0.3 and len(words) > 20 or top4 > 0.4 and len(words) > 40 or (dup_lines > 0.6 and len(lines) > 4):
+    if kind != "list" and (top2 > 0.3 and len(words) > 20 or top4 > 0.4 and len(words) > 40 or dup_lines > 0.6 and len(lines) > 4):
         kind = "repeated"
     return (
         solid, len(words), letters / max(1, len(words)), max(0, solid - letters - digits) / solid, digits / solid,
