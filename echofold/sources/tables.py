@@ -50,3 +50,17 @@ def unit_rows(units: DataFrame, *extra: str) -> DataFrame:
 def comparable(units: DataFrame, min_lines: int = 5) -> DataFrame:
     """Units with a fingerprint and at least ``min_lines`` significant lines (null is not enough)."""
     return units.where((F.size("fps") > 0) & (F.col("sig_lines") >= min_lines))
+
+
+def file_rows(files: DataFrame, *columns: str) -> DataFrame:
+    """One row a file: ``file_id, file`` (compared path) and the asked columns; of several deliveries the last (ties: the
+    greatest row). Only what is asked for travels: ask for ``content`` only where its text is needed."""
+    row = F.struct(F.col("loaded_at"), compared_path(F.col("path")).alias("file"), *columns)
+    return (files.where("file_id is not null").select("file_id", row.alias("row")).groupBy("file_id").agg(F.max("row").alias("row"))
+            .select("file_id", "row.file", *[f"row.{c}" for c in columns]))
+
+
+def placed_units(units: DataFrame, files: DataFrame) -> DataFrame:
+    """Unit rows with the path of their file (null for units of unknown files) and all columns the cluster operators use."""
+    rows = unit_rows(units, "file_id", "name", "start_line", "end_line", "start_byte", "end_byte", "is_test", "is_trait_impl_method")
+    return rows.join(file_rows(files), "file_id", "left")
