@@ -18,14 +18,26 @@ class Token(NamedTuple):
     row: int
 
 
-# Words that stay as they stand in the normalised stream.
-KEYWORDS = frozenset("""
-abstract and as assert async await base begin break case catch class const continue constructor debugger def default defer deinit del delegate delete do elif else elsif end ensure enum except export extends
-extension extern fallthrough final finally fn for foreach from func function global go goto guard if impl implements import in infix init inline instanceof interface internal is lambda let lock loop match mod module
-mut namespace new nil none nonlocal not null object of operator or out override package pass private protected protocol pub public raise range readonly record ref repeat require rescue return
-sealed select self sizeof static struct super suspend switch synchronized template then this throw throws trait true false True False None try type typedef typeof union unless unsafe until use using val var virtual void volatile
-when where while with yield
-""".split())
+# Words that stay as they stand in the normalised stream: those that most languages reserve, and what a language adds.
+_COMMON = "break case catch class const continue default do else false for if import in new null return static switch this throw true try var void while"
+_ADDED = {
+    "typescript": "abstract as async await constructor debugger declare delete enum export extends finally from function get implements instanceof interface let namespace of private protected public readonly set super typeof undefined yield",
+    "python": "and as assert async await def del elif except False finally from global is lambda None nonlocal not or pass raise True with yield",
+    "rust": "as async await crate dyn enum extern fn impl let loop match mod move mut pub ref self Self struct super trait type unsafe use where",
+    "go": "chan defer fallthrough func go goto interface map nil package range select struct type",
+    "java": "abstract assert enum extends final finally implements instanceof interface native package private protected public record sealed super synchronized throws transient volatile yield",
+    "ruby": "alias and begin def defined? elsif end ensure module next nil not or redo rescue retry self super then undef unless until when yield",
+    "swift": "as associatedtype defer deinit enum extension fallthrough fileprivate func guard init inout internal is let nil operator private protocol public repeat rethrows self Self some struct subscript super throws typealias where",
+    "c": "auto enum extern goto inline register restrict signed sizeof struct typedef union unsigned volatile",
+    "cpp": "auto constexpr delete enum explicit extern friend goto inline mutable namespace noexcept nullptr operator override private protected public sizeof struct template typedef typename union unsigned using virtual volatile",
+    "php": "abstract and array as clone declare echo elseif empty extends final finally fn foreach function global goto implements include instanceof insteadof interface isset list match namespace or print private protected public readonly require trait unset use yield",
+    "csharp": "abstract as async await base checked delegate enum event explicit extern finally fixed foreach get goto implicit init interface internal is lock namespace operator out override params private protected public readonly record ref sealed set sizeof stackalloc struct typeof unchecked unsafe using value virtual volatile where yield",
+    "kotlin": "as by companion data fun init interface internal is lateinit object open operator override package private protected public sealed super suspend val when where",
+    "scala": "abstract def extends final finally forSome given implicit lazy match object override package private protected sealed super trait type using val with yield",
+    "clojure": "nil",
+}
+KEYWORDS = {lang: frozenset((("" if lang == "clojure" else _COMMON + " ") + words).split()) for lang, words in _ADDED.items()}
+KEYWORDS |= dict.fromkeys(("tsx", "javascript"), KEYWORDS["typescript"])
 
 _NUM = r"(?P<num>(?<![\w.])(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)\w*)"
 _ID = r"(?P<id>[^\W\d][\w$]*|[$@][^\W\d]\w*)"
@@ -63,13 +75,13 @@ def rows_of(text: str) -> list[int]:
 
 def tokenize(lang: str, text: str) -> list[Token]:
     """All tokens but comments."""
-    starts, out = rows_of(text), []
+    starts, out, keywords = rows_of(text), [], KEYWORDS[lang]
     for m in LEXERS[lang].finditer(text):
         kind = m.lastgroup
         if kind == "com":
             continue
         word = m.group()
-        if kind == "id" and word in KEYWORDS:
+        if kind == "id" and word in keywords:
             kind = "kw"
         out.append(Token(kind, word, m.start(), m.end(), bisect_right(starts, m.start()) - 1))
     return out
