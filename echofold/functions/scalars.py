@@ -24,11 +24,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def sim_bar(similarity: Column) -> Column:
-    """Nine cells in eighths."""
+    """Nine cells in eighths; null gives null."""
     eighths = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity)) * 72 + 0.5).cast("int")
     full = F.floor(eighths / 8).cast("int")
     rest = F.element_at(F.array(*[F.lit(x) for x in K.BAR_EIGHTHS]), eighths % 8 + 1)
-    return F.concat(F.repeat(F.lit("█"), full), F.when(full < 9, rest).otherwise(""))
+    return F.when(similarity.isNotNull(), F.concat(F.repeat(F.lit("█"), full), F.when(full < 9, rest).otherwise("")))
 
 
 def group_digits(n: Column) -> Column:

@@ -1,13 +1,14 @@
-"""Token streams of plain text and their k-gram fingerprints, as column expressions and window functions.
+"""Token streams of plain text and their k-gram fingerprints, within a row: no shuffle, no window.
 
 The hash of a k-gram is its md5 in hexadecimal, which every engine agrees on and orders alike; ``operators.fingerprints``
-has the 64-bit hash for code. Computed arrays are exploded with ``explode_outer``: the filter that ``explode``
-implies would be pushed below and evaluate the expressions twice.
+has the 64-bit hash for code. Every step is a column of its own: an expression that a lambda function refers to would
+be evaluated again for each element. Computed arrays are exploded with ``explode_outer``, since the filter
+that ``explode`` implies would be pushed below and evaluate them twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -18,22 +19,35 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def codes(tokens: Column) -> Column:
-    """Normalised stream of words: digits become NUM, and a run of NUM counts once; words stay."""
-    named = F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), "NUM").otherwise(t))
-    return F.filter(named, lambda t, i: ~((t == "NUM") & (i > 0) & (F.get(named, i - 1) == "NUM")))
+def named(tokens: Column) -> Column:
+    """Words with the numbers among them as NUM."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), "NUM").otherwise(t))
 
 
-def kgrams(docs: DataFrame, id: str, tokens: str, k: int = K.KGRAM) -> DataFrame:
-    """``id, pos, hash``: the k-grams of each token array (none for shorter ones)."""
-    grams = F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.struct(i.alias("pos"), F.md5(F.array_join(F.slice(tokens, i, k), " ")).alias("hash"))))
-    return docs.select(F.col(id).alias("id"), F.explode_outer(grams).alias("g")).where("g is not null").select("id", "g.pos", "g.hash")
+def collapsed(codes: Column) -> Column:
+    """A run of NUM counts once; words stay however often they come."""
+    before = F.concat(F.array(F.lit("")), codes)
+    both = F.filter(F.arrays_zip(codes.alias("t"), F.slice(before, F.lit(1), F.size(codes)).alias("p")), lambda x: ~((x["t"] == "NUM") & (x["p"] == "NUM")))
+    return F.transform(both, lambda x: x["t"])
 
 
-def winnow(grams: DataFrame, w: int = K.WINDOW) -> DataFrame:
-    """``id, fp``: of every window of ``w`` k-grams the least hash, the rightmost on a tie; of fewer the least. Distinct."""
-    rows = Window.partitionBy("id").orderBy("pos").rowsBetween(0, w - 1)
-    whole = Window.partitionBy("id")
-    least = F.min(F.struct("hash", (-F.col("pos")).alias("minus"))).over(rows)
-    picked = grams.select("id", "pos", least.alias("least"), F.count(F.lit(1)).over(rows).alias("width"), F.count(F.lit(1)).over(whole).alias("n"))
-    return picked.where((F.col("width") == w) | ((F.col("n") < w) & (F.col("pos") == 1))).select("id", F.col("least.hash").alias("fp")).distinct()
+def kgram_hashes(codes: Column, k: int = K.KGRAM) -> Column:
+    """Hashes of the k-grams in order; none for fewer than k codes."""
+    return F.when(F.size(codes) >= k, F.transform(F.sequence(F.lit(1), F.size(codes) - k + 1), lambda i: F.md5(F.array_join(F.slice(codes, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+
+
+def winnowed(hashes: Column, w: int = K.WINDOW) -> Column:
+    """The least hash of every window of ``w``, of fewer hashes the least of all; distinct."""
+    picked = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hashes) - w + 1)), lambda i: F.array_min(F.slice(hashes, i, w)))
+    return F.when(F.size(hashes) > 0, F.array_distinct(picked)).otherwise(F.array().cast("array<string>"))
+
+
+def tokenised(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``id, words, codes`` of each document."""
+    return docs.select(F.col(id).alias("id"), words(F.col(text)).alias("words")).select("id", "words", named(F.col("words")).alias("n")).select("id", "words", collapsed(F.col("n")).alias("codes"))
+
+
+def fingerprinted(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``id, hashes, fps`` of each document."""
+    h = tokenised(docs, id, text).select("id", kgram_hashes(F.col("codes")).alias("hashes"))
+    return h.select("id", "hashes", winnowed(F.col("hashes")).alias("fps"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import small
+
 
 def transitions(points: DataFrame, delivered: DataFrame, *, group: str = "repo", snapshot: str = "commit", order: str = "committed_at") -> DataFrame:
     """Consecutive delivered snapshots of a group: ``old, new``.
@@ -40,8 +42,7 @@ def snapshot_changes(rows: DataFrame, steps: DataFrame, *, snapshot: str, key: C
     tagged = numbered.select(F.explode(F.array(
         F.struct(F.col("old").alias("s"), "step", F.lit(0).alias("side"), "new"),
         F.struct(F.col("new").alias("s"), "step", F.lit(1).alias("side"), "new"))).alias("t")).select("t.*")
-    if tagged.limit(sides + 1).count() <= sides:
-        tagged = F.broadcast(tagged)
+    tagged = small(tagged, sides)
     held = F.max(F.when(F.col("side") == 0, F.struct("version", "value"))), F.max(F.when(F.col("side") == 1, F.struct("version", "value")))
     both = (
         rows.select(F.col(snapshot).alias("s"), key.alias("key"), version.alias("version"), F.when(value.isNotNull(), F.xxhash64(value)).alias("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import grade, jaccard
+from ..scratch import materialize, small
 from .graph import components
 
 PLACE = ("file_id", "start_byte", "end_byte")
@@ -39,21 +40,38 @@ def drop_nested_clusters(members: DataFrame) -> DataFrame:
 
 
 def ranked_members(units: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``cluster, rank, representative, similarity`` and the unit's columns of every member that is left.
+    """``cluster, representative, similarity, member_order`` and the unit's columns of every member that is left.
 
     A cluster is a connected component of the pairs, named by its least unit. After nested members are dropped, clusters of
-    one are, then clusters nested in others. Rank 1 is the representative: most significant lines, then file, line and id.
+    one are, then clusters nested in others. The representative is the first in ``member_order``: most significant lines, then file, line and id.
     ``similarity`` is that to the representative.
     """
     labels = components(pairs).select(F.col("v").alias("unit_id"), F.col("label").alias("cluster"))
     members = drop_nested_members(units.join(labels, "unit_id"))
-    members = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).where("_n > 1").drop("_n")
-    members = drop_nested_clusters(members)
-    order = Window.partitionBy("cluster").orderBy(F.desc_nulls_last("sig_lines"), "file", "start_line", "unit_id")
-    ranked = members.withColumn("rank", F.row_number().over(order))
-    first = ranked.where("rank = 1").select("cluster", F.col("fps").alias("rep_fps"))
-    return (ranked.join(first, "cluster").withColumn("representative", F.col("rank") == 1)
-            .withColumn("similarity", F.when(F.col("rank") == 1, F.lit(1.0)).otherwise(jaccard(F.col("fps"), F.col("rep_fps")))).drop("rep_fps"))
+    alone = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("cluster")
+    members = materialize(drop_nested_clusters(members.join(alone, "cluster", "left_anti")), "cluster-members")
+    order = F.struct((-F.col("sig_lines")).isNull().alias("o0"), (-F.col("sig_lines")).alias("o1"), F.col("file").alias("o2"), F.col("start_line").alias("o3"), F.col("unit_id").alias("o4"))
+    keyed = members.withColumn("_order", order)
+    first = keyed.groupBy("cluster").agg(F.min("_order").alias("_first")).select("cluster", F.col("_first.o4").alias("_rep"))
+    rep = first.join(members.select(F.col("unit_id").alias("_rep"), F.col("fps").alias("_fps")), "_rep")
+    own = F.col("unit_id") == F.col("_rep")
+    return (keyed.join(rep, "cluster").withColumn("representative", own).withColumn("similarity", F.when(own, F.lit(1.0)).otherwise(jaccard(F.col("fps"), F.col("_fps"))))
+            .withColumnRenamed("_order", "member_order").drop("_rep", "_fps"))
+
+
+def with_rank(ranked: DataFrame) -> DataFrame:
+    """Adds ``rank``, 1 for the representative. Numbers run through ranges of the order, so that a large cluster is spread over many."""
+    numbered = global_numbers(ranked.withColumn("_key", F.struct("cluster", "member_order")), "_key", "_n")
+    first = numbered.groupBy("cluster").agg(F.min("_n").alias("_least"))
+    return numbered.join(first, "cluster").withColumn("rank", F.col("_n") - F.col("_least") + 1).drop("_n", "_least", "_key")
+
+
+def global_numbers(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds ``out``: 1, 2, ... in order of ``key``. Rows are split into ranges; what each range adds is a sum of counts of ranges."""
+    parts = materialize(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # as many rows as ranges
+    before = small(sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b")), 100_000)
+    return parts.join(before, "_p").withColumn(out, F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(key))).drop("_p", "_b")
 
 
 def cluster_rows(ranked: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..scratch import small
 
 
 def exploded(units: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def cull_caps(units: DataFrame, floor: int = K.CULL_FLOOR, share: int = K.CULL_S
 def hot_fingerprints(units: DataFrame, floor: int = K.CULL_FLOOR, share: int = K.CULL_SHARE) -> DataFrame:
     """``lang, fp, df`` of the fingerprints beyond their language's bound. With an average set of m they are fewer than
     ``share * m`` a language, however many units there are."""
-    return frequencies(units).join(F.broadcast(cull_caps(units, floor, share)), "lang").where("df > cap").select("lang", "fp", "df")
+    return frequencies(units).join(small(cull_caps(units, floor, share)), "lang").where("df > cap").select("lang", "fp", "df")
 
 
 def cull(units: DataFrame, floor: int = K.CULL_FLOOR, share: int = K.CULL_SHARE) -> DataFrame:
@@ -42,7 +43,7 @@ def cull(units: DataFrame, floor: int = K.CULL_FLOOR, share: int = K.CULL_SHARE)
     sets are neither exploded nor shuffled.
     """
     hot = hot_fingerprints(units, floor, share).groupBy("lang").agg(F.collect_list("fp").alias("_hot"))
-    return units.join(F.broadcast(hot), "lang", "left").withColumn("fps", F.when(F.col("_hot").isNull(), F.col("fps")).otherwise(F.array_except("fps", "_hot"))).drop("_hot")
+    return units.join(small(hot), "lang", "left").withColumn("fps", F.when(F.col("_hot").isNull(), F.col("fps")).otherwise(F.array_except("fps", "_hot"))).drop("_hot")
 
 
 def _rarest_first(units: DataFrame) -> DataFrame:
@@ -54,6 +55,26 @@ def _rarest_first(units: DataFrame) -> DataFrame:
     )
 
 
+def set_classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(members, reps)``: ``members(unit_id, rep)`` names, for every unit with a language and a non-empty set, the least unit with an
+    equal set in its language; ``reps`` are the rows of those. Copies are one class, so that a join never expands them.
+
+    Sets are told apart by 128 bits of hash and counted with map-side combine: a class may hold any share of the units.
+    """
+    keyed = units.where(F.col("lang").isNotNull() & (F.size("fps") > 0)).withColumn("fps", F.array_sort("fps"))
+    keyed = keyed.withColumn("_k1", F.xxhash64("lang", "fps")).withColumn("_k2", F.xxhash64("fps", F.lit(3), "lang"))
+    least = keyed.groupBy("_k1", "_k2").agg(F.min("unit_id").alias("rep"))
+    members = keyed.select("unit_id", "_k1", "_k2").join(least, ["_k1", "_k2"]).select("unit_id", "rep")
+    return members, keyed.drop("_k1", "_k2").join(least.select(F.col("rep").alias("unit_id")), "unit_id", "left_semi")
+
+
+def similar_links(units: DataFrame, threshold: float = K.SCAN_THRESHOLD, min_shared: int = K.MIN_SHARED) -> DataFrame:
+    """``a, b``: what connects similar units, without a link for every pair: the similar pairs of class representatives, and each other
+    member of a class with its representative. A set of fewer than ``min_shared`` values links nothing."""
+    members, reps = set_classes(units.where(F.size("fps") >= min_shared))
+    return jaccard_pairs(reps, threshold, min_shared).select("a", "b").unionByName(members.where("unit_id <> rep").select(F.col("rep").alias("a"), F.col("unit_id").alias("b")))
+
+
 def _needed(size: Column, bound: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(size * bound - 1e-9)).cast("int")
 
@@ -112,17 +133,21 @@ def best_container(pairs: DataFrame) -> DataFrame:
 
 def probe_pairs(changed: DataFrame, base: DataFrame, threshold: float = K.CHECK_THRESHOLD) -> DataFrame:
     """``unit_id, original_id, similarity``: the most similar base unit of each changed one, if it reaches ``threshold`` (ties:
-    the least id). Within a language; nothing is culled and one shared fingerprint is enough to be compared."""
-    sides = changed.select("unit_id", "lang", "fps", F.lit(0).alias("side")).unionByName(base.select("unit_id", "lang", "fps", F.lit(1).alias("side")))
+    the least id). Within a language; nothing is culled and one shared fingerprint is enough to be compared. Copies are
+    compared once on either side."""
+    asked, new = set_classes(changed)
+    _, old = set_classes(base)
+    sides = new.select("unit_id", "lang", "fps", F.lit(0).alias("side")).unionByName(old.select("unit_id", "lang", "fps", F.lit(1).alias("side")))
     df = frequencies(sides)
     size = F.size("fps")
-    ordered = (sides.where("lang is not null").select("unit_id", "side", "lang", F.explode("fps").alias("fp")).join(df, ["lang", "fp"]).groupBy("unit_id", "side", "lang")
+    ordered = (sides.select("unit_id", "side", "lang", F.explode("fps").alias("fp")).join(df, ["lang", "fp"]).groupBy("unit_id", "side", "lang")
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "fp"))), lambda x: x["fp"]).alias("fps")))
     prefix = ordered.select("unit_id", "side", "lang", size.alias("n"), F.explode(F.slice("fps", F.lit(1), size - _needed(size, threshold) + 1)).alias("fp"))
-    old = prefix.where("side = 1").select(F.col("unit_id").alias("original_id"), "lang", "fp", F.col("n").alias("m"))
-    found = prefix.where("side = 0").join(old, ["lang", "fp"]).where((F.col("n") >= F.col("m") * threshold - 1e-9) & (F.col("m") >= F.col("n") * threshold - 1e-9)).select("unit_id", "original_id").distinct()
-    theirs = base.select(F.col("unit_id").alias("original_id"), F.col("fps").alias("theirs"))
+    theirs = prefix.where("side = 1").select(F.col("unit_id").alias("original_id"), "lang", "fp", F.col("n").alias("m"))
+    found = prefix.where("side = 0").join(theirs, ["lang", "fp"]).where((F.col("n") >= F.col("m") * threshold - 1e-9) & (F.col("m") >= F.col("n") * threshold - 1e-9)).select("unit_id", "original_id").distinct()
+    sets = old.select(F.col("unit_id").alias("original_id"), F.col("fps").alias("theirs"))
     shared = F.size(F.array_intersect("fps", "theirs"))
-    scored = found.join(changed.select("unit_id", "fps"), "unit_id").join(theirs, "original_id").select("unit_id", "original_id", (shared / (F.size("fps") + F.size("theirs") - shared)).alias("similarity"))
+    scored = found.join(new.select("unit_id", "fps"), "unit_id").join(sets, "original_id").select("unit_id", "original_id", (shared / (F.size("fps") + F.size("theirs") - shared)).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("original_id")).alias("minus")))
-    return scored.where(F.col("similarity") >= threshold).groupBy("unit_id").agg(best.alias("best")).select("unit_id", (-F.col("best.minus")).alias("original_id"), F.col("best.similarity").alias("similarity"))
+    answers = scored.where(F.col("similarity") >= threshold).groupBy("unit_id").agg(best.alias("best")).withColumnRenamed("unit_id", "rep")
+    return asked.join(answers, "rep").select("unit_id", (-F.col("best.minus")).alias("original_id"), F.col("best.similarity").alias("similarity"))

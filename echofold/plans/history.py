@@ -49,7 +49,7 @@ def series(spark: SparkSession, repo: str, snapshots: DataFrame, config: Config
     units = exploded_units(placed.withColumn("key", F.col("file")).withColumnRenamed("is_test", "test_path"), "units", "commit", "test_path")
     units = units.withColumn("is_test", F.col("is_test") | F.col("test_path")).withColumn("lang", F.concat_ws(":", "commit", "lang"))
     units = materialize(P.cull(materialize(units, "snapshot-units")), "culled")
-    members = materialize(C.ranked_members(units, P.jaccard_pairs(units, config.bound(K.SCAN_THRESHOLD))), "members")
+    members = materialize(C.ranked_members(units, P.similar_links(units, config.bound(K.SCAN_THRESHOLD))), "members")
     owner = members.where("representative").select("cluster", "commit")
     rows = C.cluster_rows(members).join(owner, "cluster").where(~F.col("trait_impl_only") & (F.lit(config.include_tests) | ~F.col("test_only")))
     deletable = rows.groupBy("commit").agg(F.sum("deletable_lines").alias("deletable"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from .. import constants as K
-from ..operators.clusters import cluster_order
+from ..operators.clusters import cluster_order, global_numbers, with_rank
 from .scan import Scan
 
 NAME = "echofold"
@@ -21,32 +21,14 @@ NAME = "echofold"
 # ---- JSON --------------------------------------------------------------------------------------------------------------
 
 def cluster_json(members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row a cluster: ``id`` (1 for the first in rank) and ``json``, ready for ``write.text``.
-
-    Ids come from ranges of the order and the sizes of those before, so that no single task numbers all clusters.
-    """
-    member = F.struct("rank", "file", "name", "start_line", "end_line", F.col("sig_lines").alias("lines"), "similarity", "representative", F.coalesce("is_test", F.lit(False)).alias("test"))
-    lists = members.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(member)), lambda m: m.dropFields("rank")).alias("members"))
-    ranked = clusters.withColumn("_key", F.struct((-F.col("deletable_lines")).alias("a"), "rep_file", "rep_line", "cluster"))
-    numbered = _numbered(ranked, "_key")
-    body = F.struct("id", "copies", "similarity", "deletable_lines", "test_only", F.when(F.col("trait_impl_only"), F.lit(True)).alias("trait_impl_only"), "members")
-    return numbered.join(lists, "cluster").select("id", F.to_json(body).alias("json"))
-
-
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    from ..scratch import materialize
-
-    parts = materialize(df.repartitionByRange(64, key).withColumn("_p", F.spark_partition_id()), "ranked")
-    sizes = sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # 64 at most
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets += [F.lit(p), F.lit(total)]
-        total += n
-    if not offsets:
-        return parts.withColumn("id", F.lit(0)).drop("_p")
-    from pyspark.sql import Window
-
-    return parts.withColumn("id", F.element_at(F.create_map(*offsets), F.col("_p")) + F.row_number().over(Window.partitionBy("_p").orderBy(key))).drop("_p")
+    """``id, member, json``, ready for ``write.text``: a document for each cluster (member 0; ids in order of rank), and one for each
+    member, numbered from 1. Members are documents of their own, since a cluster may hold any number of them."""
+    key = F.struct((-F.col("deletable_lines")).alias("a"), "rep_file", "rep_line", "cluster")
+    numbered = global_numbers(clusters.withColumn("_key", key), "_key", "id")
+    head = F.struct("id", "copies", "similarity", "deletable_lines", "test_only", F.when(F.col("trait_impl_only"), F.lit(True)).alias("trait_impl_only"))
+    one = F.struct("file", "name", "start_line", "end_line", F.col("sig_lines").alias("lines"), "similarity", "representative", F.coalesce("is_test", F.lit(False)).alias("test"))
+    rows = with_rank(members).join(numbered.select("cluster", "id"), "cluster")
+    return numbered.select("id", F.lit(0).cast("long").alias("member"), F.to_json(head).alias("json")).unionByName(rows.select("id", F.col("rank").alias("member"), F.to_json(one).alias("json")))
 
 
 def report(scan: Scan, root: str, *, most: int | None = None, containment: bool = False) -> dict:
@@ -68,9 +50,15 @@ def report(scan: Scan, root: str, *, most: int | None = None, containment: bool
 
 
 def _clusters(members: DataFrame, clusters: DataFrame, most: int | None) -> list[dict]:
+    """The first ``most`` clusters with their members, put together on the driver."""
     kept = clusters.orderBy(*cluster_order()).limit(most) if most is not None else clusters
-    rows = [json.loads(r.json) for r in cluster_json(members.join(kept.select("cluster"), "cluster", "left_semi"), kept).orderBy("id").collect()]
-    return rows
+    out: dict[int, dict] = {}
+    for r in cluster_json(members.join(kept.select("cluster"), "cluster", "left_semi"), kept).orderBy("id", "member").toLocalIterator():
+        if r.member:
+            out[r.id]["members"].append(json.loads(r.json))
+        else:
+            out[r.id] = json.loads(r.json) | {"members": []}
+    return list(out.values())
 
 
 def to_json(document: dict) -> str:

@@ -42,12 +42,13 @@ class Scan:
         return materialize(P.cull(self.units), "culled")
 
     @cached_property
-    def pairs(self) -> DataFrame:
-        return materialize(P.jaccard_pairs(self.culled, self.config.bound(K.SCAN_THRESHOLD)), "pairs")
+    def links(self) -> DataFrame:
+        """Similar pairs of class representatives, and copies with theirs."""
+        return P.similar_links(self.culled, self.config.bound(K.SCAN_THRESHOLD))
 
     @cached_property
     def members(self) -> DataFrame:
-        return materialize(C.ranked_members(self.culled, self.pairs), "members")
+        return materialize(C.ranked_members(self.culled, self.links), "members")
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -78,4 +79,4 @@ class Scan:
     def shape_members(self) -> DataFrame:
         """Members of clusters of class shapes; frequent signatures are culled as fingerprints are."""
         units = materialize(P.cull(exploded_units(self.analysis.where("skip is null"), "shapes")), "shapes")
-        return materialize(C.ranked_members(units, P.jaccard_pairs(units, self.config.bound(K.SCAN_THRESHOLD))), "shape-members")
+        return materialize(C.ranked_members(units, P.similar_links(units, self.config.bound(K.SCAN_THRESHOLD))), "shape-members")

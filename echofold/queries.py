@@ -12,6 +12,7 @@ from . import constants as K
 from .functions import content, paths, scalars, tokens
 from .operators import check, clusters, graph, history, metrics, pairs
 from .operators.changes import snapshot_changes, transitions
+from .scratch import small
 from .sources.tables import compared_path, file_rows, placed_units, table, unit_rows
 
 QUERIES, SQL = {}, {}
@@ -44,11 +45,14 @@ fp0 AS (SELECT unit_id, lang, unnest(fps) AS fp FROM units1 WHERE lang IS NOT NU
 freq AS (SELECT lang, fp, count(*) AS df FROM fp0 GROUP BY lang, fp),
 hot AS (SELECT lang, fp, df FROM freq JOIN caps USING (lang) WHERE df > cap),
 fp1 AS (SELECT * FROM fp0 ANTI JOIN hot USING (lang, fp)),
-sizes AS (SELECT unit_id, count(*) AS n FROM fp1 GROUP BY unit_id),
-shared AS (SELECT x.unit_id AS a, y.unit_id AS b, count(*) AS shared FROM fp1 x JOIN fp1 y ON x.lang = y.lang AND x.fp = y.fp AND x.unit_id < y.unit_id GROUP BY 1, 2),
-cand AS (SELECT a, b, shared, na.n AS na, nb.n AS nb FROM shared JOIN sizes na ON na.unit_id = a JOIN sizes nb ON nb.unit_id = b WHERE shared >= {K.MIN_SHARED}),
-near AS (SELECT a, b, shared, shared / (na + nb - shared) AS similarity FROM cand WHERE shared / (na + nb - shared) >= {K.SCAN_THRESHOLD})"""
-_COMPONENTS = """link AS (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near),
+sets AS (SELECT unit_id, any_value(lang) AS lang, list_sort(list(fp)) AS cfps FROM fp1 GROUP BY unit_id),
+classes AS (SELECT unit_id, min(unit_id) OVER (PARTITION BY lang, cfps) AS rep, len(cfps) AS n FROM sets),
+fp2 AS (SELECT * FROM fp1 WHERE unit_id IN (SELECT rep FROM classes)),
+shared AS (SELECT x.unit_id AS a, y.unit_id AS b, count(*) AS shared FROM fp2 x JOIN fp2 y ON x.lang = y.lang AND x.fp = y.fp AND x.unit_id < y.unit_id GROUP BY 1, 2),
+cand AS (SELECT a, b, shared, na.n AS na, nb.n AS nb FROM shared JOIN classes na ON na.unit_id = a JOIN classes nb ON nb.unit_id = b WHERE shared >= {K.MIN_SHARED}),
+near AS (SELECT a, b, shared, shared / (na + nb - shared) AS similarity FROM cand WHERE shared / (na + nb - shared) >= {K.SCAN_THRESHOLD}),
+links AS (SELECT a, b FROM near UNION ALL SELECT rep, unit_id FROM classes WHERE unit_id <> rep AND n >= {K.MIN_SHARED})"""
+_COMPONENTS = """link AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
 reach(v, g) AS (SELECT DISTINCT x, x FROM link UNION SELECT link.y, reach.g FROM reach JOIN link ON link.x = reach.v WHERE reach.g < link.y),
 labels AS (SELECT v AS unit_id, min(g) AS cluster FROM reach GROUP BY v)"""
 _RANKED = f"""{_CULL}, {_FILES}, {_COMPONENTS},
@@ -59,9 +63,8 @@ csize AS (SELECT cluster, count(*) AS size FROM m2 GROUP BY cluster),
 cov AS (SELECT i.cluster AS i, j.cluster AS j, count(DISTINCT i.unit_id) AS n FROM m2 i JOIN m2 j ON i.file_id = j.file_id AND i.cluster <> j.cluster AND j.start_byte <= i.start_byte AND j.end_byte >= i.end_byte AND (j.start_byte <> i.start_byte OR j.end_byte <> i.end_byte) GROUP BY 1, 2),
 gone AS (SELECT DISTINCT i AS cluster FROM cov JOIN csize ON csize.cluster = i WHERE n = size),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sig_lines DESC NULLS LAST, file NULLS FIRST, start_line NULLS FIRST, unit_id) AS rank FROM m2 WHERE cluster NOT IN (SELECT cluster FROM gone)),
-cset AS (SELECT unit_id, list(fp) AS cfps FROM fp1 GROUP BY unit_id),
-repset AS (SELECT ranked.cluster, cfps AS rfps FROM ranked JOIN cset USING (unit_id) WHERE rank = 1),
-members AS (SELECT ranked.*, rank = 1 AS representative, CASE WHEN rank = 1 THEN 1.0 ELSE len(list_intersect(cfps, rfps)) / (len(cfps) + len(rfps) - len(list_intersect(cfps, rfps))) END AS similarity FROM ranked JOIN cset USING (unit_id) JOIN repset USING (cluster)),
+repset AS (SELECT ranked.cluster, cfps AS rfps FROM ranked JOIN sets USING (unit_id) WHERE rank = 1),
+members AS (SELECT ranked.cluster, ranked.unit_id, rank, sig_lines, is_test, is_trait_impl_method, file, start_line, rank = 1 AS representative, CASE WHEN rank = 1 THEN 1.0 ELSE len(list_intersect(cfps, rfps)) / (len(cfps) + len(rfps) - len(list_intersect(cfps, rfps))) END AS similarity FROM ranked JOIN sets USING (unit_id) JOIN repset USING (cluster)),
 clusters AS (SELECT cluster, count(*) AS copies, coalesce(avg(similarity) FILTER (WHERE NOT representative), 1.0) AS similarity, coalesce(sum(sig_lines) FILTER (WHERE NOT representative), 0)::BIGINT AS deletable_lines,
   bool_and(coalesce(is_test, false)) AS test_only, bool_and(coalesce(is_trait_impl_method, false)) AS trait_impl_only, max(file) FILTER (WHERE representative) AS rep_file, max(start_line) FILTER (WHERE representative) AS rep_line FROM members GROUP BY cluster)"""
 _GRADE = "CASE " + " ".join(f"WHEN {{0}} < {b} THEN '{g}'" for b, g in K.GRADES) + f" ELSE '{K.LAST_GRADE}' END"
@@ -73,9 +76,16 @@ def _culled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(pairs.cull(placed_units(table(spark, sf_dir, "units"), table(spark, sf_dir, "files"))), "culled-units")
 
 
+def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The culled units, one of each class of equal sets."""
+    from .scratch import materialize
+
+    return materialize(pairs.set_classes(_culled(spark, sf_dir))[1], "class-reps")
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _culled(spark, sf_dir)
-    return clusters.ranked_members(units, pairs.jaccard_pairs(units))
+    return clusters.ranked_members(units, pairs.similar_links(units))
 
 
 # ---- filters and projections on files -------------------------------------------------------------------------------
@@ -133,26 +143,23 @@ won AS (SELECT DISTINCT id, least.h AS fp FROM picked WHERE width = {K.WINDOW} O
 
 @query(f"WITH {_TOKENS} SELECT doc_id, len(t0) AS words, len(t) AS codes, len(list_filter(t, lambda x: x = 'NUM')) AS numbers FROM (SELECT * FROM toks JOIN codes USING (doc_id))")
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tokens.words(F.col("text")).alias("w"))
-    d = d.select("doc_id", "w", tokens.codes(F.col("w")).alias("c"))
-    return d.select("doc_id", F.size("w").cast("long").alias("words"), F.size("c").cast("long").alias("codes"), F.size(F.filter("c", lambda x: x == "NUM")).cast("long").alias("numbers"))
-
-
-def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tokens.codes(tokens.words(F.col("text"))).alias("c"))
-    return tokens.kgrams(d, "doc_id", "c")
+    d = tokens.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return d.select(F.col("id").alias("doc_id"), F.size("words").cast("long").alias("words"), F.size("codes").cast("long").alias("codes"), F.size(F.filter("codes", lambda x: x == "NUM")).cast("long").alias("numbers"))
 
 
 @query(f"WITH {_GRAMS} SELECT id, fp FROM won")
 def doc_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.winnow(_grams(spark, sf_dir))
+    d = tokens.fingerprinted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return d.select("id", F.explode_outer("fps").alias("fp")).where("fp is not null")
 
 
 @query(f"WITH {_GRAMS}, a AS (SELECT id, count(*) AS kgrams FROM grams GROUP BY id), b AS (SELECT id, count(*) AS fps FROM won GROUP BY id) SELECT id, kgrams, fps, round(fps / kgrams, 6) AS density FROM a JOIN b USING (id)")
 def doc_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = _grams(spark, sf_dir)
-    a, b = grams.groupBy("id").agg(F.count(F.lit(1)).alias("kgrams")), tokens.winnow(grams).groupBy("id").agg(F.count(F.lit(1)).alias("fps"))
-    return a.join(b, "id").select("id", "kgrams", "fps", r6(F.col("fps") / F.col("kgrams")).alias("density"))
+    d = tokens.fingerprinted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    # a filter on the counts would be pushed below the expressions they come from, and evaluate those for every element
+    one = F.when(F.size("hashes") > 0, F.array(F.struct(F.size("hashes").cast("long").alias("kgrams"), F.size("fps").cast("long").alias("fps"))))
+    rows = d.select("id", F.explode_outer(one).alias("x")).where("x is not null")
+    return rows.select("id", "x.kgrams", "x.fps", r6(F.col("x.fps") / F.col("x.kgrams")).alias("density"))
 
 
 # ---- set joins of units ----------------------------------------------------------------------------------------------
@@ -163,20 +170,26 @@ def cull_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.hot_fingerprints(unit_rows(table(spark, sf_dir, "units")), floor=10)
 
 
-@query(f"WITH {_CULL} SELECT u.unit_id, len(u.fps) AS before, coalesce(n, CASE WHEN u.lang IS NULL THEN len(u.fps) ELSE 0 END) AS after FROM units1 u LEFT JOIN sizes USING (unit_id)")
+@query(f"WITH {_CULL} SELECT u.unit_id, len(u.fps) AS before, coalesce(n, CASE WHEN u.lang IS NULL THEN len(u.fps) ELSE 0 END) AS after FROM units1 u LEFT JOIN classes USING (unit_id)")
 def cull_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = unit_rows(table(spark, sf_dir, "units"))
     return pairs.cull(units.withColumn("n", F.size("fps"))).select("unit_id", F.col("n").cast("long").alias("before"), F.size("fps").cast("long").alias("after"))
 
 
+@query(f"WITH {_CULL} SELECT unit_id, rep FROM classes")
+def set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with equal sets, by their least one; the pair queries are between these."""
+    return pairs.set_classes(pairs.cull(unit_rows(table(spark, sf_dir, "units"))))[0]
+
+
 @query(f"WITH {_CULL} SELECT a, b, shared FROM cand")
 def pairs_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.candidate_pairs(pairs.cull(unit_rows(table(spark, sf_dir, "units"))))
+    return pairs.candidate_pairs(_reps(spark, sf_dir))
 
 
 @query(f"WITH {_CULL} SELECT a, b, shared, round(similarity, 6) AS similarity FROM near")
 def pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.jaccard_pairs(pairs.cull(unit_rows(table(spark, sf_dir, "units")))).select("a", "b", F.col("shared").cast("long").alias("shared"), r6(F.col("similarity")).alias("similarity"))
+    return pairs.jaccard_pairs(_reps(spark, sf_dir)).select("a", "b", F.col("shared").cast("long").alias("shared"), r6(F.col("similarity")).alias("similarity"))
 
 
 _CONTAINED = f"""{_CULL}, sided AS (SELECT CASE WHEN na <= nb THEN a ELSE b END AS small, CASE WHEN na <= nb THEN b ELSE a END AS large, shared / least(na, nb) AS containment FROM cand WHERE shared / (na + nb - shared) < {K.SCAN_THRESHOLD} AND shared / least(na, nb) >= {K.CONTAINMENT}),
@@ -186,12 +199,12 @@ contained AS (SELECT small, large, containment FROM sided JOIN units1 s ON s.uni
 
 @query(f"WITH {_CONTAINED} SELECT small, large, round(containment, 6) AS containment FROM contained")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.containment_pairs(_culled(spark, sf_dir)).withColumn("containment", r6(F.col("containment")))
+    return pairs.containment_pairs(_reps(spark, sf_dir)).withColumn("containment", r6(F.col("containment")))
 
 
 @query(f"WITH {_CONTAINED} SELECT small, large, round(containment, 6) AS containment FROM contained QUALIFY row_number() OVER (PARTITION BY small ORDER BY containment DESC, large) = 1")
 def best_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.best_container(pairs.containment_pairs(_culled(spark, sf_dir))).withColumn("containment", r6(F.col("containment")))
+    return pairs.best_container(pairs.containment_pairs(_reps(spark, sf_dir))).withColumn("containment", r6(F.col("containment")))
 
 
 # ---- clusters and score ----------------------------------------------------------------------------------------------
@@ -199,12 +212,12 @@ def best_container(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_CULL}, {_COMPONENTS} SELECT unit_id, cluster FROM labels")
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = pairs.cull(unit_rows(table(spark, sf_dir, "units")))
-    return graph.components(pairs.jaccard_pairs(units)).select(F.col("v").alias("unit_id"), F.col("label").alias("cluster"))
+    return graph.components(pairs.similar_links(units)).select(F.col("v").alias("unit_id"), F.col("label").alias("cluster"))
 
 
 @query(f"WITH RECURSIVE {_RANKED} SELECT cluster, unit_id, rank::BIGINT AS rank, representative, round(similarity, 6) AS similarity FROM members")
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir).select("cluster", "unit_id", F.col("rank").cast("long").alias("rank"), "representative", r6(F.col("similarity")).alias("similarity"))
+    return clusters.with_rank(_ranked(spark, sf_dir)).select("cluster", "unit_id", F.col("rank").cast("long").alias("rank"), "representative", r6(F.col("similarity")).alias("similarity"))
 
 
 @query(f"WITH RECURSIVE {_RANKED} SELECT cluster, copies, round(similarity, 6) AS similarity, deletable_lines, test_only, trait_impl_only FROM clusters")
@@ -328,7 +341,7 @@ def inflection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_POINTS} SELECT lower(oid) AS oid, arg_min("commit", (at_, "commit")) AS "commit" FROM tree_entries JOIN pts USING ("commit") WHERE oid IS NOT NULL GROUP BY 1""")
 def fresh_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which snapshot brings which blob."""
-    return history.fresh_blobs(table(spark, sf_dir, "tree_entries"), snapshots=F.broadcast(_points(spark, sf_dir).select("commit", F.col("at_").alias("at"))))
+    return history.fresh_blobs(table(spark, sf_dir, "tree_entries"), snapshots=small(_points(spark, sf_dir).select("commit", F.col("at_").alias("at")), 100_000))
 
 
 @query("""WITH pts AS (SELECT repo, "commit", min(committed_at) AS t FROM points GROUP BY 1, 2),
@@ -353,22 +366,22 @@ _PREDICTED = "pred AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FRO
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.jaccard_pairs(pairs.cull(unit_rows(table(spark, sf_dir, "units"))))
+    return pairs.similar_links(pairs.cull(unit_rows(table(spark, sf_dir, "units"))))
 
 
-@query(f"""WITH {_CULL}, {_PREDICTED}, c AS (SELECT count_if(near.a IS NOT NULL AND pred.a IS NOT NULL) AS tp, count_if(near.a IS NULL) AS fp, count_if(pred.a IS NULL) AS fn FROM near FULL JOIN pred ON near.a = pred.a AND near.b = pred.b),
+@query(f"""WITH {_CULL}, {_PREDICTED}, c AS (SELECT count_if(links.a IS NOT NULL AND pred.a IS NOT NULL) AS tp, count_if(links.a IS NULL) AS fp, count_if(pred.a IS NULL) AS fn FROM links FULL JOIN pred ON links.a = pred.a AND links.b = pred.b),
 n AS (SELECT count(*) AS n FROM units1), d AS (SELECT tp, fp, fn, n * (n - 1) // 2 - tp - fp - fn AS tn FROM c, n),
 e AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM d)
 SELECT tp, fp, fn, tn, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1,
  round(CASE WHEN (tp + fp) > 0 AND (tp + fn) > 0 AND (tn + fp) > 0 AND (tn + fn) > 0 THEN (tp::DOUBLE * tn - fp::DOUBLE * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)) ELSE 0 END, 6) AS mcc FROM e""")
 def detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The collected pairs as a detector's, against the pairs of the exact join."""
+    """The collected pairs as a detector's, against the links of the exact join (similar representatives, copies with theirs)."""
     n = table(spark, sf_dir, "units").where("unit_id is not null").select("unit_id").distinct().count()
     out = metrics.scores(metrics.confusion(_truth(spark, sf_dir), table(spark, sf_dir, "pairs"), n))
     return out.select("tp", "fp", "fn", "tn", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "mcc")])
 
 
-@query(f"WITH {_CULL}, {_PREDICTED}, t AS (SELECT near.a, near.b, lang FROM near JOIN units1 ON unit_id = near.a) SELECT lang, count(pred.a) AS hit, count(*) AS total, round(count(pred.a) / count(*), 6) AS recall FROM t LEFT JOIN pred USING (a, b) GROUP BY lang")
+@query(f"WITH {_CULL}, {_PREDICTED}, t AS (SELECT links.a, links.b, lang FROM links JOIN units1 ON unit_id = links.a) SELECT lang, count(pred.a) AS hit, count(*) AS total, round(count(pred.a) / count(*), 6) AS recall FROM t LEFT JOIN pred USING (a, b) GROUP BY lang")
 def recall_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = unit_rows(table(spark, sf_dir, "units"))
     truth = _truth(spark, sf_dir).join(units.select(F.col("unit_id").alias("a"), "lang"), "a")
@@ -410,6 +423,45 @@ def report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     scalars.truncate(F.col("repo"), 12).alias("short"), scalars.truncate_left(F.col("repo"), 12).alias("tail")).distinct()
 
 
-@query("""WITH e AS (SELECT finding_id, floor(greatest(0.0, least(1.0, similarity)) * 72 + 0.5)::INT AS e FROM findings) SELECT finding_id, repeat('█', e // 8) || CASE WHEN e // 8 < 9 THEN ['', '▏', '▎', '▍', '▌', '▋', '▊', '▉'][e % 8 + 1] ELSE '' END AS bar FROM e""")
+@query("""WITH e AS (SELECT finding_id, CASE WHEN similarity IS NOT NULL THEN floor(greatest(0.0, least(1.0, similarity)) * 72 + 0.5)::INT END AS e FROM findings) SELECT finding_id, repeat('█', (e // 8)::INT) || CASE WHEN e // 8 < 9 THEN ['', '▏', '▎', '▍', '▌', '▋', '▊', '▉'][e % 8 + 1] ELSE '' END AS bar FROM e""")
 def similarity_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "findings").select("finding_id", scalars.sim_bar(F.col("similarity")).alias("bar"))
+
+
+# ---- code: files to functions, without SQL -----------------------------------------------------------------------------
+
+
+def _scan(spark: SparkSession, sf_dir: str, shapes: bool = False):
+    """A scan of the files table: a file of a repository is one named by both."""
+    from .plans.config import Config
+    from .plans.scan import Scan
+
+    files = table(spark, sf_dir, "files").where("path is not null").select(F.concat_ws("/", "repo", compared_path(F.col("path"))).alias("file"), F.col("size_bytes").alias("size"), "content").distinct()
+    return Scan(files, Config(min_tokens=20), shapes=shapes)
+
+
+@query()
+def scan_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every function of every scannable file."""
+    return _scan(spark, sf_dir).units.select("file", "lang", "name", "start_line", "end_line", "sig_lines", F.size("fps").alias("fingerprints"), "is_test")
+
+
+@query()
+def scan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of near-duplicate functions of the files."""
+    return _scan(spark, sf_dir).clusters
+
+
+@query()
+def scan_class_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of clusters of C# types with like signatures."""
+    return _scan(spark, sf_dir, shapes=True).shape_members.select("cluster", "file", "name", "sig_lines", "representative", "similarity")
+
+
+@query()
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of the units table as JSON documents, numbered by rank."""
+    from .plans.report import cluster_json
+
+    members = _ranked(spark, sf_dir)
+    return cluster_json(members, clusters.cluster_rows(members))

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted, no further than that), else as it is: the join is
+    then a shuffle join. For tables whose size follows from the data's shape, not from its volume."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path on whatever file system it lies."""
     jvm = spark.sparkContext._jvm
