@@ -81,3 +81,12 @@ def plant(seed: int = 7, copies: int = 3, gap: int = 1) -> list[Planted]:
 def true_pairs(planted: list[Planted]) -> list[tuple[int, int, int]]:
     """(a, b, kind) of all pairs of one group."""
     return [(x.id, y.id, x.kind) for x, y in combinations(planted, 2) if x.group == y.group]
+
+
+def scatter(planted: list[Planted], host: list[tuple[str, str]], seed: int = 7) -> list[tuple[str, str]]:
+    """(file, source) of a host's files with the planted ones among them, each in a directory the host has. The truth is the
+    planted list: file names stay, so that a report can be matched by them."""
+    rng = random.Random(seed)
+    places = sorted({name.rpartition("/")[0] for name, _ in host}) or [""]
+    inside = [(f"{rng.choice(places)}/{p.file.rpartition('/')[2]}".lstrip("/"), p.source) for p in planted]
+    return sorted([*host, *inside])

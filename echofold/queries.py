@@ -287,6 +287,15 @@ def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.touched(placed_units(table(spark, sf_dir, "units"), table(spark, sf_dir, "files")), hunks).select("unit_id")
 
 
+@query(f"WITH f AS (SELECT batch_no, finding_id, {_PATH.format('file')} AS path, line FROM findings) SELECT batch_no AS diff, path, line AS start, line + 1 AS \"end\" FROM f WHERE path IS NOT NULL AND line IS NOT NULL")
+def parse_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs written from the findings of a batch (a file line and a hunk of two lines each), read back."""
+    f = table(spark, sf_dir, "findings").select("batch_no", "finding_id", compared_path(F.col("file")).alias("path"), "line").where("path is not null and line is not null")
+    text = F.array(F.concat(F.lit("+++ b/"), "path"), F.concat(F.lit("@@ -0,0 +"), F.col("line").cast("string"), F.lit(",2 @@ x")), F.lit("+code"))
+    lines = f.select(F.col("batch_no").alias("diff"), "finding_id", F.posexplode(text).alias("i", "text")).select("diff", (F.col("finding_id") * 3 + F.col("i")).alias("n"), F.col("text").alias("line"))
+    return check.parse_hunks(lines)
+
+
 _SUGGEST = f"""f AS (SELECT finding_id, {_PATH.format('file')} AS file, {_PATH.format('original_file')} AS o, original_name AS name FROM findings),
 p AS (SELECT *, string_split(regexp_replace(o, '\\.rs$', ''), '/') AS rp, string_split(regexp_replace(o, '\\.pyi?$', ''), '/') AS pp, string_split(file, '/')[:-2] AS here, string_split(regexp_replace(o, '\\.[^./]*$', ''), '/') AS there FROM f),
 q AS (SELECT *, CASE WHEN list_contains(rp, 'src') THEN rp[len(rp) - list_position(list_reverse(rp), 'src') + 2:] ELSE rp END AS ra, CASE WHEN pp[1] = 'src' THEN pp[2:] ELSE pp END AS pa,
