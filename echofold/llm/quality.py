@@ -82,11 +82,11 @@ def is_prose(paragraph: str) -> bool:
 
 
 def ngram_cover(words: list[str], n: int) -> float:
-    """Share of the words' letters that lie in repeats of the most frequent n-gram (0 if none comes twice)."""
+    """Share of the words' letters that lie in repeats of the most frequent n-gram (0 if none comes three times)."""
     if len(words) < n + 1:
         return 0.0
     gram, times = Counter(zip(*(words[i:] for i in range(n)), strict=False)).most_common(1)[0]
-    if times < 2:
+    if times < 3:
         return 0.0
     return min(1.0, times * sum(map(len, gram)) / max(1, sum(map(len, words))))
 
