@@ -11,6 +11,7 @@ from . import __version__
 from . import constants as K
 from .plans import report as R
 from .plans.config import Config
+from .scratch import clear
 from .sources.git import GitError
 
 
@@ -144,6 +145,11 @@ def main(argv: list[str] | None = None) -> int:
     except (GitError, FileNotFoundError) as e:
         print(f"echofold: {e}", file=sys.stderr)
         return 2
+    finally:
+        from pyspark.sql import SparkSession
+
+        if SparkSession.getActiveSession():
+            clear(SparkSession.getActiveSession())
 
 
 if __name__ == "__main__":

@@ -30,8 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/echofold/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of the application's own."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/echofold/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written there; nothing derived from it can be read afterwards."""
+    drop_path(spark, _own(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
