@@ -106,7 +106,9 @@ def radix_counts(pieces: Iterator[pa.Table], scratch: str, *, limit: int, memory
 def _counter(scratch: str | None, limit: int, memory: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the shared folder where it is mounted, else the directory Spark gives its own spills
-        own = tempfile.mkdtemp(prefix="radix-", dir=scratch if scratch and os.path.isdir(scratch) else os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        if scratch:
+            os.makedirs(scratch, exist_ok=True)
+        own = tempfile.mkdtemp(prefix="radix-", dir=scratch or os.environ["SPARK_LOCAL_DIRS"].split(",")[0])
         try:
             for table in radix_counts((pa.Table.from_batches([b]) for b in batches if b.num_rows), own, limit=limit, memory=memory):
                 yield from table.select(["value", "n"]).cast(pa.schema([("value", pa.int64()), ("n", pa.int64())])).to_batches(max_chunksize=1 << 16)
