@@ -53,6 +53,13 @@ def test_side_by_side_shows_all_changes(a, b):
     assert sum("│" in r for r in rows) == changed
 
 
+@given(st.text(max_size=60), st.integers(2, 20))
+@settings(max_examples=60, deadline=None)
+def test_wrapping_loses_nothing(text, columns):
+    pieces = R.wrap(text, columns)
+    assert "".join(pieces) == text.expandtabs(4) and all(R.display_width(p) <= columns for p in pieces)
+
+
 def test_corpus_is_what_its_seed_says():
     assert plant(3) == plant(3) != plant(4)
     planted = plant(7)
