@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import drop_path, materialize, scratch_path
+from ..scratch import drop_path, materialize, scratch_path, small
 from .hashing import U64, list_column, mix
 
 HOT_SHARE = 50_000
+#: Rows up to which a batch's probes and finds are broadcast (32 bytes each).
+SMALL = 500_000
 CHUNKS = "chunk long, id long, size int, bytes int"
 RECORDS = "id long, values array<long>"
 
@@ -153,16 +155,18 @@ class History:
         """``id, original_id, similarity`` of the batch's records that are rejected: their similarity to an accepted
         record is at least theta; the most similar is the original (ties: the least id)."""
         keyed = batch.where(F.size("values") > 0).select("id", "values", F.xxhash64("values").alias("k1"), F.xxhash64("values", F.lit(7)).alias("k2"))
-        classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("q"), F.any_value("values").alias("values"))
-        probes = classes.select(F.col("q").alias("id"), "values").mapInArrow(_probe(self.hot, self.theta), CHUNKS).withColumnRenamed("id", "q").withColumnRenamed("size", "qs").withColumnRenamed("bytes", "qb")
+        classes = materialize(keyed.groupBy("k1", "k2").agg(F.min("id").alias("q"), F.any_value("values").alias("values")), "batch-classes")
+        probes = classes.select(F.col("q").alias("id"), "values").mapInArrow(_probe(self.hot, self.theta), CHUNKS)
+        probes = materialize(probes.select("chunk", F.col("id").alias("q"), F.col("size").alias("qs"), F.col("bytes").alias("qb")), "probes")
         theta = F.lit(self.theta)
+        # a batch is small beside the history: as long as it is, the history is read but not shuffled
         found = (
-            probes.join(self._read("chunks", CHUNKS), "chunk")
+            self._read("chunks", CHUNKS).join(small(probes, SMALL), "chunk")
             .where((F.col("size") >= F.col("qs") * theta - 1e-6) & (F.col("qs") >= F.col("size") * theta - 1e-6))
             .groupBy("q", "id").agg(F.sum("qb").alias("shared_bytes"))
         )
-        held = self._read("records", RECORDS).select("id", F.col("values").alias("theirs"))
-        both = found.join(classes.select("q", "values"), "q").join(held, "id")
+        found = materialize(found, "found")
+        both = self._read("records", RECORDS).select("id", F.col("values").alias("theirs")).join(small(found, SMALL), "id").join(classes.select("q", "values"), "q")
         covered = F.size(F.array_intersect("values", "theirs"))
         similar = (
             both.select("q", "id", covered.alias("i"), (F.size("values") + F.size("theirs")).alias("n"))
