@@ -1,9 +1,7 @@
-"""Token streams of plain text and their k-gram fingerprints, within a row: no shuffle, no window.
+"""Token streams of plain text, within a row.
 
-The hash of a k-gram is its md5 in hexadecimal, which every engine agrees on and orders alike; ``operators.fingerprints``
-has the 64-bit hash for code. Every step is a column of its own: an expression that a lambda function refers to would
-be evaluated again for each element. Computed arrays are exploded with ``explode_outer``, since the filter
-that ``explode`` implies would be pushed below and evaluate them twice.
+Every step is a column of its own: an expression that a lambda function refers to would be evaluated again for each
+element. Fingerprints of text are in ``operators.fingerprints``.
 """
 
 from __future__ import annotations
@@ -11,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as K
-
 
 def words(text: Column) -> Column:
     """Runs of ASCII letters and digits in lower case; null and empty give an empty array."""
@@ -31,23 +27,6 @@ def collapsed(codes: Column) -> Column:
     return F.transform(both, lambda x: x["t"])
 
 
-def kgram_hashes(codes: Column, k: int = K.KGRAM) -> Column:
-    """Hashes of the k-grams in order; none for fewer than k codes."""
-    return F.when(F.size(codes) >= k, F.transform(F.sequence(F.lit(1), F.size(codes) - k + 1), lambda i: F.md5(F.array_join(F.slice(codes, i, k), " ")))).otherwise(F.array().cast("array<string>"))
-
-
-def winnowed(hashes: Column, w: int = K.WINDOW) -> Column:
-    """The least hash of every window of ``w``, of fewer hashes the least of all; distinct."""
-    picked = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hashes) - w + 1)), lambda i: F.array_min(F.slice(hashes, i, w)))
-    return F.when(F.size(hashes) > 0, F.array_distinct(picked)).otherwise(F.array().cast("array<string>"))
-
-
 def tokenised(docs: DataFrame, id: str, text: str) -> DataFrame:
     """``id, words, codes`` of each document."""
     return docs.select(F.col(id).alias("id"), words(F.col(text)).alias("words")).select("id", "words", named(F.col("words")).alias("n")).select("id", "words", collapsed(F.col("n")).alias("codes"))
-
-
-def fingerprinted(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``id, hashes, fps`` of each document."""
-    h = tokenised(docs, id, text).select("id", kgram_hashes(F.col("codes")).alias("hashes"))
-    return h.select("id", "hashes", winnowed(F.col("hashes")).alias("fps"))

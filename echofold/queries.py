@@ -12,6 +12,7 @@ from . import constants as K
 from .functions import content, paths, scalars, tokens
 from .operators import check, clusters, graph, history, metrics, pairs
 from .operators.changes import snapshot_changes, transitions
+from .operators.fingerprints import text_fingerprints
 from .scratch import small
 from .sources.tables import compared_path, file_rows, placed_units, table, unit_rows
 
@@ -149,17 +150,13 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GRAMS} SELECT id, fp FROM won")
 def doc_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tokens.fingerprinted(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return d.select("id", F.explode_outer("fps").alias("fp")).where("fp is not null")
+    return text_fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.explode("fps").alias("fp"))
 
 
 @query(f"WITH {_GRAMS}, a AS (SELECT id, count(*) AS kgrams FROM grams GROUP BY id), b AS (SELECT id, count(*) AS fps FROM won GROUP BY id) SELECT id, kgrams, fps, round(fps / kgrams, 6) AS density FROM a JOIN b USING (id)")
 def doc_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tokens.fingerprinted(table(spark, sf_dir, "documents"), "doc_id", "text")
-    # a filter on the counts would be pushed below the expressions they come from, and evaluate those for every element
-    one = F.when(F.size("hashes") > 0, F.array(F.struct(F.size("hashes").cast("long").alias("kgrams"), F.size("fps").cast("long").alias("fps"))))
-    rows = d.select("id", F.explode_outer(one).alias("x")).where("x is not null")
-    return rows.select("id", "x.kgrams", "x.fps", r6(F.col("x.fps") / F.col("x.kgrams")).alias("density"))
+    d = text_fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text").where("kgrams > 0").withColumn("fps", F.size("fps").cast("long"))
+    return d.select("id", "kgrams", "fps", r6(F.col("fps") / F.col("kgrams")).alias("density"))
 
 
 # ---- set joins of units ----------------------------------------------------------------------------------------------

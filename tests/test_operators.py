@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from echofold.functions import content, paths, scalars, tokens
 from echofold.operators import check, clusters, graph, history, metrics, pairs
 from echofold.operators.changes import snapshot_changes, transitions
-from echofold.operators.fingerprints import with_fingerprints
+from echofold.operators.fingerprints import text_fingerprint, text_fingerprints, with_fingerprints
 from echofold.sources.tables import compared_path, file_rows, unit_rows
 
 UNIT = "unit_id long, lang string, file_id long, file string, name string, start_line int, end_line int, start_byte int, end_byte int, sig_lines int, is_test boolean, is_trait_impl_method boolean, fps array<long>"
@@ -196,11 +196,12 @@ def test_tokens_and_winnow(spark):
 
     words = [f"w{i}" for i in range(40)]
     h = [hashlib.md5(" ".join(words[i : i + 10]).encode()).hexdigest() for i in range(31)]
-    got = {r.id: r for r in tokens.fingerprinted(df, "doc_id", "text").collect()}
-    assert got[4].hashes == h and set(got[4].fps) == {min(h[i : i + 8]) for i in range(24)} and len(got[4].fps) == len(set(got[4].fps))
-    assert got[1].fps == got[2].fps == []
-    short = spark.createDataFrame([(h[:3],)], "h array<string>")
-    assert short.select(tokens.winnowed(F.col("h"))).first()[0] == [min(h[:3])]
+    got = {r.id: r for r in text_fingerprints(df, "doc_id", "text").collect()}
+    assert got[4].kgrams == 31 and set(got[4].fps) == {min(h[i : i + 8]) for i in range(24)} and len(got[4].fps) == len(set(got[4].fps))
+    assert got[1].fps == got[2].fps == [] and got[3].kgrams == 0
+    for w in range(1, 12):
+        assert set(text_fingerprint(" ".join(words), 10, w)[1]) == {min(h[i : i + w]) for i in range(32 - w)}
+    assert text_fingerprint(" ".join(words[:12]))[1] == [min(h[:3])]
 
 
 def test_exact_fingerprints(spark):
