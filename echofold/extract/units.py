@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions import content as C
 from ..functions import paths as P
 from ..operators.fingerprints import fingerprint
+from ..scratch import spread
 from .lexer import Token, normalise, tokenize
 from .scanners import SCANNERS, header, matches, scan
 
@@ -158,7 +159,7 @@ def analysed(sources: DataFrame, *, min_tokens: int = K.MIN_TOKENS, shapes: bool
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[0] for r in rows], unit), pa.array(found, unit)],
                                                  names=["key", "lang", "sig_lines", "total_lines", "units", "shapes"])
 
-    return sources.select("key", "lang", "is_test", "content").mapInArrow(run, f"key {kind}, lang string, sig_lines int, total_lines int, units array<{UNIT}>, shapes array<{UNIT}>")
+    return spread(sources.select("key", "lang", "is_test", "content"), "key").mapInArrow(run, f"key {kind}, lang string, sig_lines int, total_lines int, units array<{UNIT}>, shapes array<{UNIT}>")
 
 
 def exploded_units(analysis: DataFrame, column: str = "units", *extra: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..scratch import spread
 
 U = np.uint64
 
@@ -106,4 +107,4 @@ def text_fingerprints(documents: DataFrame, id: str, text: str, k: int = K.KGRAM
             rows = [text_fingerprint(t, k, w) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.list_(pa.string()))], names=["id", "kgrams", "fps"])
 
-    return documents.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, kgrams long, fps array<string>")
+    return spread(documents.select(F.col(id).alias("id"), F.col(text).alias("text")), "id").mapInArrow(run, f"id {kind}, kgrams long, fps array<string>")

@@ -56,6 +56,13 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores: for work that costs far more per row than moving it, on
+    input that came as a few files. Input of more partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path on whatever file system it lies."""
     jvm = spark.sparkContext._jvm
