@@ -50,7 +50,7 @@ def test_changes_take_one_shuffle_of_the_rows(spark, data):
 
 
 def test_text_is_fingerprinted_without_shuffle(spark, data):
-    p = plan(text_fingerprints(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text"))
+    p = plan(text_fingerprints(spark.read.parquet(f"{data}/documents.parquet").coalesce(1), "doc_id", "text"))
     assert "Exchange hashpartitioning(id" in p  # one small file is spread over the cores
     many = spark.read.parquet(f"{data}/documents.parquet").repartition(16)
     p = plan(text_fingerprints(many, "doc_id", "text"))
