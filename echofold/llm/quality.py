@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import spread
 from .mail import body_text, own_words
 
 # Common words of the languages of the archive (articles, pronouns, prepositions, auxiliaries).
@@ -139,7 +140,8 @@ def text_stats(message: str | None) -> tuple | None:
 
 
 def quality(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id and the columns of ``STATS`` for every row; a null text has null statistics. Row by row, no shuffle."""
+    """The id and the columns of ``STATS`` for every row; a null text has null statistics. Row by row; input of
+    fewer partitions than cores is spread, otherwise nothing is shuffled."""
     names = list(STATS)
     types = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
@@ -150,4 +152,4 @@ def quality(documents: DataFrame, *, id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
 
     kind = documents.schema[id].dataType.simpleString()
-    return documents.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t in STATS.items()))
+    return spread(documents.select(F.col(id).alias("id"), F.col(text).alias("text")), "id").mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t in STATS.items()))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import materialize, spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _SPACES = r"\t-\r \x85\xa0  -     　"
@@ -135,7 +135,7 @@ def encoded(documents: DataFrame, *, id: str = "doc_id", text: str = "text", pat
     rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     out = "n int" if count else "ids array<int>"
-    short = rows.where(~long).mapInArrow(_encoder(path, count), f"id {kind}, {out}")
+    short = spread(rows.where(~long), "id").mapInArrow(_encoder(path, count), f"id {kind}, {out}")
     parts = (
         rows.where(long).mapInArrow(_chunker(chunk, overlap), f"key long, id {kind}, idx int, size long, text string")
         .repartition(F.xxhash64("key", "idx")).mapInArrow(_boundaries(path, chunk, overlap), f"key long, id {kind}, idx int, size long, text string, head array<long>, tail array<long>")
