@@ -12,6 +12,7 @@ from . import constants as K
 from .plans import report as R
 from .plans.config import Config
 from .scratch import clear
+from .ship import ship
 from .sources.git import GitError
 
 
@@ -21,7 +22,7 @@ def session():
 
     spark = SparkSession.getActiveSession() or SparkSession.builder.appName("echofold").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def parser() -> argparse.ArgumentParser:
