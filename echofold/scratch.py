@@ -58,7 +58,10 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over at least as many partitions as the cluster has cores: for work that costs far more per row than moving it, on
-    input that came as a few files. Input of more partitions stays as it is."""
+    input that came as a few files. Input of more partitions stays as it is, and so does the outcome of a shuffle, whose
+    partitions aren't known before it has run."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
