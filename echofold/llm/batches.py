@@ -183,10 +183,10 @@ def judge_batches(units: DataFrame, *, first: int = 0, theta: float = 0.85, min_
     """``unit_id, batch_no, original_id, similarity`` of the rejected units of all batches after ``first``.
 
     ``units(unit_id, batch_no, fps)``, comparable units only. Batches run in order, each against the history; units with a
-    null batch number belong to no batch and are left out. The distinct batch numbers are listed on the driver.
+    null batch number belong to no batch, rows without id are no units; both are left out. The distinct batch numbers are listed on the driver.
     """
     spark = units.sparkSession
-    records = materialize(units.where("batch_no is not null").select(F.col("unit_id").alias("id"), "batch_no", F.col("fps").alias("values")), "batch-records")
+    records = materialize(units.where("batch_no is not null and unit_id is not null").select(F.col("unit_id").alias("id"), "batch_no", F.col("fps").alias("values")), "batch-records")
     numbers = sorted(r[0] for r in records.select("batch_no").distinct().collect())
     history = History(spark, theta=theta)
     empty = spark.createDataFrame([], "unit_id long, batch_no int, original_id long, similarity double")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 
-PLACED = "id long, piece int, size int, container long, place int, start int"
+PLACED = "id long, anonymous boolean, piece int, size int, container long, place int, start int"
 
 
 def best_fit(items: Iterable[tuple[int, int, int]], capacity: int, apart: dict[int, int] | None = None) -> list[tuple[int, int]]:
@@ -68,29 +68,31 @@ def packed(items: DataFrame, *, id: str, size: str, source: str, cluster: str, c
     item of size 0 or null needs no room: it comes out once, with a null container, place and start. Items with equal
     non-null ``cluster`` never share a container, nor do items whose sources are in one set of ``apart``. ``place`` counts a
     container's items in order of ``start``. Ties fall to the smaller id, so the result doesn't depend on partitioning.
+    Items without an id are packed like others, and come out without.
     """
-    rows = materialize(items.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), F.xxhash64(cluster).alias("cluster"), F.col(cluster).isNotNull().alias("clustered")), "pack-items")
+    rows = materialize(items.select(F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), F.col(id).isNull().alias("anonymous"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), F.xxhash64(cluster).alias("cluster"), F.col(cluster).isNotNull().alias("clustered")), "pack-items")
     groups = max(1, math.ceil(rows.count() / group_items))
     pieces = rows.where("size > 0").select(
-        "id", "source", "cluster", "clustered", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / capacity) - 1).cast("int"))).alias("piece"), F.col("size").alias("whole"),
-    ).select("id", "piece", F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("int").alias("size"), "source", "cluster", "clustered",
+        "id", "anonymous", "source", "cluster", "clustered", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / capacity) - 1).cast("int"))).alias("piece"), F.col("size").alias("whole"),
+    ).select("id", "anonymous", "piece", F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("int").alias("size"), "source", "cluster", "clustered",
              F.pmod(F.xxhash64("id", "piece", F.lit(17)), F.lit(groups)).cast("int").alias("grp"))
     forbidden = [sorted(s) for s in apart or []]
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "anonymous", "id", "piece"], ascending=[False, True, True, True], kind="stable")
         names = {s: 1 << i for i, s in enumerate(sorted(set(pdf["source"].dropna())))}
         shut = {names[s]: sum(names[t] for t in set_ if t != s and t in names) for set_ in forbidden for s in set_ if s in names}
         often = pdf.loc[pdf["clustered"], "cluster"].value_counts()
         bits = {c: i for i, c in enumerate(sorted(often.index[often > 1]))}
         where = best_fit(((s, names.get(src, 0), bits.get(c, -1) if k else -1) for s, src, c, k in zip(pdf["size"], pdf["source"], pdf["cluster"], pdf["clustered"], strict=True)), capacity, shut)
-        out = pdf[["id", "piece", "size"]].copy()
+        out = pdf[["id", "anonymous", "piece", "size"]].copy()
         out["container"] = [c for c, _ in where]
         out["start"] = [s for _, s in where]
         out["place"] = out.sort_values("start", kind="stable").groupby("container").cumcount()
         out["container"] += int(pdf["grp"].iloc[0]) << 32
-        return out[["id", "piece", "size", "container", "place", "start"]]
+        return out[["id", "anonymous", "piece", "size", "container", "place", "start"]]
 
     none = F.lit(None)
-    empty = rows.where("size <= 0").select("id", F.lit(0).alias("piece"), F.lit(0).alias("size"), none.cast("long").alias("container"), none.cast("int").alias("place"), none.cast("int").alias("start"))
-    return pieces.groupBy("grp").applyInPandas(pack, PLACED).unionByName(empty)
+    empty = rows.where("size <= 0").select("id", "anonymous", F.lit(0).alias("piece"), F.lit(0).alias("size"), none.cast("long").alias("container"), none.cast("int").alias("place"), none.cast("int").alias("start"))
+    out = pieces.groupBy("grp").applyInPandas(pack, PLACED).unionByName(empty)
+    return out.select(F.when(~F.col("anonymous"), F.col("id")).alias("id"), "piece", "size", "container", "place", "start")

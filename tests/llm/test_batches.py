@@ -38,7 +38,7 @@ def test_equals_brute_force(spark, seed, theta):
         else:
             s = {rng.randint(0, 10**6) for _ in range(rng.choice([1, 3, 7, 20, 45]))} | {1, 2, 3}
         units.append((i, rng.randint(0, 4), s))
-    df = spark.createDataFrame([(i, n, sorted(s), 0.0) for i, n, s in units] + [(900, None, [1], 0.0), (901, 2, [], 0.0), (902, 2, None, 0.0)], "unit_id long, batch_no int, fps array<long>, similarity double")
+    df = spark.createDataFrame([(i, n, sorted(s), 0.0) for i, n, s in units] + [(900, None, [1], 0.0), (901, 2, [], 0.0), (902, 2, None, 0.0), (None, 2, [1, 2, 3], 0.0)], "unit_id long, batch_no int, fps array<long>, similarity double")
     got = {r.unit_id: r.original_id for r in judge_batches(df, theta=theta).collect()}
     assert got == brute(units, theta)
 

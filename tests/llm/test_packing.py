@@ -57,3 +57,9 @@ def test_little_room_unused(spark):
 
 def test_empty(spark):
     assert packed(spark.createDataFrame([], "d long, n int, s string, c string"), id="d", size="n", source="s", cluster="c").collect() == []
+
+
+def test_null_and_huge_ids(spark):
+    big = 2**62 + 1
+    rows = packed(spark.createDataFrame([(None, 5, None, None), (big, 7, "a", "c"), (None, 0, None, None)], "piece long, n int, s string, container string"), id="piece", size="n", source="s", cluster="container", capacity=10).collect()
+    assert sorted((r.id or 0, r.size, r.container is None) for r in rows) == [(0, 0, True), (0, 5, False), (big, 7, False)]
