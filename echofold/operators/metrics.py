@@ -27,6 +27,35 @@ def confusion(truth: DataFrame, predicted: DataFrame, items: int, *, a: str = "a
     return out.withColumn("tn", F.lit(items * (items - 1) // 2) - F.col("tp") - F.col("fp") - F.col("fn"))
 
 
+def class_recall(members: DataFrame, similar: DataFrame, predicted: DataFrame, kind: str, *, a: str = "a", b: str = "b") -> DataFrame:
+    """``kind, hit, total, recall`` where every two items of a class, and of two similar classes, are a true pair.
+
+    ``members(unit_id, rep, kind)`` with one kind a class, ``similar(a, b)`` pairs of classes by their ``rep``. True pairs are
+    counted from the sizes of the classes, never built; predicted ones are judged by the classes of their ends.
+    """
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.first(kind).alias(kind))
+    alike = _pairs(similar, "a", "b")
+    side = lambda c: sizes.select(F.col("rep").alias(c), F.col("n").alias("n" + c), *([kind] if c == "a" else []))
+    within = sizes.select(kind, F.expr("n * (n - 1) div 2").alias("total"))
+    across = alike.join(side("a"), "a").join(side("b"), "b").select(kind, (F.col("na") * F.col("nb")).alias("total"))
+    totals = within.unionByName(across).groupBy(kind).agg(F.sum("total").alias("total")).where("total > 0")
+    end = lambda c: members.select(F.col("unit_id").alias(c), F.col("rep").alias("r" + c), *([kind] if c == "a" else []))
+    x, y = unordered(F.col("ra"), F.col("rb"))
+    judged = _pairs(predicted, a, b).join(end("a"), "a").join(end("b"), "b").select(x.alias("a"), y.alias("b"), kind)
+    hits = judged.join(alike.withColumn("s", F.lit(1)), ["a", "b"], "left").where("a = b or s = 1").groupBy(kind).agg(F.count(F.lit(1)).alias("hit"))
+    out = totals.join(hits, totals[kind].eqNullSafe(hits[kind]), "left").select(totals[kind], F.coalesce("hit", F.lit(0)).alias("hit"), "total")
+    return out.withColumn("recall", F.col("hit") / F.col("total"))
+
+
+def class_confusion(members: DataFrame, similar: DataFrame, predicted: DataFrame, items: int, *, a: str = "a", b: str = "b") -> DataFrame:
+    """``confusion`` against the true pairs of ``class_recall``."""
+    found = class_recall(members.select("unit_id", "rep", F.lit(0).alias("_kind")), similar, predicted, "_kind", a=a, b=b)
+    total = found.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), F.coalesce(F.sum("total"), F.lit(0)).alias("true"))
+    said = _pairs(predicted, a, b).agg(F.count(F.lit(1)).alias("said"))
+    out = total.join(said).select("tp", (F.col("said") - F.col("tp")).alias("fp"), (F.col("true") - F.col("tp")).alias("fn"))
+    return out.withColumn("tn", F.lit(items * (items - 1) // 2) - F.col("tp") - F.col("fp") - F.col("fn"))
+
+
 def scores(conf: DataFrame) -> DataFrame:
     """Adds ``precision, recall, f1, mcc`` to rows of ``tp, fp, fn, tn``; 0 where a denominator is."""
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))

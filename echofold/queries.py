@@ -394,6 +394,37 @@ def recall_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recall_by(truth, table(spark, sf_dir, "pairs"), "lang").withColumn("recall", r6(F.col("recall")))
 
 
+# The same two over all true pairs: every two of a class and of two similar classes, not one link a copy.
+_ALL_TRUE = f"""{_CULL}, owned AS (SELECT unit_id, rep, lang FROM classes JOIN units1 USING (unit_id) WHERE n >= {K.MIN_SHARED}),
+every AS (SELECT x.unit_id AS a, y.unit_id AS b, x.lang FROM owned x JOIN owned y ON x.rep = y.rep AND x.unit_id < y.unit_id
+  UNION ALL SELECT least(x.unit_id, y.unit_id), greatest(x.unit_id, y.unit_id), x.lang FROM near JOIN owned x ON x.rep = near.a JOIN owned y ON y.rep = near.b)"""
+
+
+def _true_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Members of the classes that can be similar at all, with their language, and the similar pairs of classes."""
+    from .scratch import materialize
+
+    units = _culled(spark, sf_dir).where(F.size("fps") >= K.MIN_SHARED)
+    members, reps = pairs.set_classes(units)
+    return materialize(members.join(units.select("unit_id", "lang"), "unit_id"), "class-members"), materialize(pairs.jaccard_pairs(reps).select("a", "b"), "class-pairs")
+
+
+@query(SQL["detector_scores"].replace(_CULL, _ALL_TRUE, 1).replace("links.", "every.").replace("FROM links FULL", "FROM every FULL"))
+def detector_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``detector_scores`` against all true pairs."""
+    n = table(spark, sf_dir, "units").where("unit_id is not null").select("unit_id").distinct().count()
+    members, similar = _true_classes(spark, sf_dir)
+    out = metrics.scores(metrics.class_confusion(members, similar, table(spark, sf_dir, "pairs"), n))
+    return out.select("tp", "fp", "fn", "tn", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "mcc")])
+
+
+@query(f"WITH {_ALL_TRUE}, {_PREDICTED} SELECT lang, count(pred.a) AS hit, count(*) AS total, round(count(pred.a) / count(*), 6) AS recall FROM every LEFT JOIN pred USING (a, b) GROUP BY lang")
+def recall_by_lang_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``recall_by_lang`` over all true pairs."""
+    members, similar = _true_classes(spark, sf_dir)
+    return metrics.class_recall(members, similar, table(spark, sf_dir, "pairs"), "lang").withColumn("recall", r6(F.col("recall")))
+
+
 @query("""WITH p AS (SELECT DISTINCT strftime(found_at, '%Y') AS run, least(a, b) AS a, greatest(a, b) AS b FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL), s AS (SELECT run, count(*) AS n FROM p GROUP BY run),
 two AS (SELECT x.run AS r, y.run AS q, x.n AS n, y.n AS m FROM s x JOIN s y ON x.run < y.run), c AS (SELECT x.run AS r, y.run AS q, count(*) AS c FROM p x JOIN p y ON x.a = y.a AND x.b = y.b AND x.run < y.run GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM s) AS runs, round(coalesce(avg(coalesce(c, 0) / (n + m - coalesce(c, 0))), 1.0), 6) AS determinism FROM two LEFT JOIN c USING (r, q)""")

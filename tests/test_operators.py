@@ -282,6 +282,16 @@ def test_metrics(spark):
     assert sorted((r.name or "", r.truth_id) for r in m.collect()) == [("", None), ("f", 4), ("g", None)]
 
 
+def test_all_pairs_of_classes_are_true(spark):
+    # classes {1, 2, 3} and {10, 11} are similar, {20, 21} is alone; 30 is in no class
+    members = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 1, "a"), (10, 10, "a"), (11, 10, "a"), (20, 20, "b"), (21, 20, "b")], "unit_id long, rep long, lang string")
+    similar = spark.createDataFrame([(1, 10)], "a long, b long")
+    pred = spark.createDataFrame([(3, 2), (2, 3), (11, 3), (2, 20), (30, 1), (7, 7), (None, 1)], "a long, b long")
+    assert metrics.class_confusion(members, similar, pred, 8).first() == (2, 2, 9, 15)
+    assert {r.lang: (r.hit, r.total) for r in metrics.class_recall(members, similar, pred, "lang").collect()} == {"a": (2, 10), "b": (0, 1)}
+    assert metrics.class_confusion(members.limit(0), similar.limit(0), pred, 8).first() == (0, 4, 0, 24)
+
+
 def test_changes(spark):
     t = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
     points = [("r", "c1", t(1)), ("r", "c2", t(2)), ("r", "c3", t(3)), ("r", "c3", t(3)), ("r", "c4", t(4)), ("s", "d1", t(1)), (None, "e", t(1)), ("r", None, t(9))]
