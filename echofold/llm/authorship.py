@@ -210,13 +210,14 @@ def not_hand_written(files: DataFrame, *, min_repos: int = 3, shared_share: floa
 
     Of several rows of a file one verdict is enough (ties: the least kind); rows without ``file_id`` are ignored. A file without
     content is judged by its path alone, an empty one too. A file of at least ``min_lines`` lines is vendored, too, if more than
-    ``shared_share`` of them lie in rules that ``min_repos`` repositories have. What travels between tasks are rule hashes, never contents.
+    ``shared_share`` of them lie in rules that ``min_repos`` repositories have, in files of whatever verdict and length. What travels between tasks are rule hashes, never contents.
     """
     features = file_features(files.where("file_id is not null")).withColumn("kind", grammar_kind())
     kept = materialize(features.select("file_id", "repo", "kind", "lines", "rules", "rule_lines"), "file-features")
-    owned = kept.where((F.col("lines") >= min_lines) & F.col("kind").isNull()).select("file_id", "repo", "lines", F.explode(F.arrays_zip("rules", "rule_lines")).alias("r")).select("file_id", "repo", "lines", F.col("r.rules").alias("rule"), F.col("r.rule_lines").alias("n"))
+    held = kept.select("file_id", "repo", "kind", "lines", F.explode(F.arrays_zip("rules", "rule_lines")).alias("r")).select("file_id", "repo", "kind", "lines", F.col("r.rules").alias("rule"), F.col("r.rule_lines").alias("n"))
     # distinct (rule, repository) first, so that a rule that very many files have is counted from few rows
-    common = owned.select("rule", "repo").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("repos")).where(F.col("repos") >= min_repos).select("rule")
+    common = held.select("rule", "repo").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("repos")).where(F.col("repos") >= min_repos).select("rule")
+    owned = held.where((F.col("lines") >= min_lines) & F.col("kind").isNull()).select("file_id", "repo", "lines", "rule", "n")
     copies = owned.join(common, "rule").groupBy("file_id", "repo", "lines").agg(F.sum("n").alias("shared")).where(F.col("shared") > F.col("lines") * shared_share)
     return (
         kept.where("kind is not null").select("file_id", "kind").unionByName(copies.select("file_id", F.lit("vendored").alias("kind")))

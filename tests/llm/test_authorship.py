@@ -71,3 +71,10 @@ def test_files(spark):
     got = {r.file_id: r.kind for r in not_hand_written(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "generated", 2: "data", 3: "data", 4: "minified", 5: "vendored", 20: "vendored", 21: "vendored", 22: "vendored", 23: "vendored"}
     assert not_hand_written(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_copies_already_flagged_count_for_unmarked_ones(spark):
+    library = hand(50, 60)
+    rows = [(i, f"r{i}", f"node_modules/lib/c{i}.py", library, "k") for i in range(3)] + [(9, "r9", "src/c.py", library, "k"), (10, "r10", "src/own.py", hand(51, 60), "k")]
+    got = {r.file_id: r.kind for r in not_hand_written(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: "vendored", 1: "vendored", 2: "vendored", 9: "vendored"}
