@@ -152,13 +152,17 @@ def batch_features(paths: list, contents: list) -> tuple[list[list], list[np.nda
         literals = "".join(x[1:-1] for x in _STRING.findall(code)) if share > 0.4 else ""
         # words, however many, keep to one kind of letter; encoded bytes switch all the time
         noise = incompressible(literals) if literals and len(_SWITCH.findall(literals)) > 0.1 * len(literals) else 0.0
-        names = _NAME.findall(bare[:20_000]) if len(squeezed) > 0.88 * len(bare) else []
+        names = short = 0
+        if len(squeezed) > 0.88 * len(bare):
+            for m in _NAME.finditer(bare):
+                names += 1
+                short += m.end() - m.start() <= 2
         sequences.append((len(rows), np.frombuffer(_NUMBER.sub("0", _IDENT.sub("i", bare)).translate(_DROP).encode("ascii", "replace"), dtype=np.uint8)))
         body = [x for x in (y.strip() for y in code.split("\n")) if x]
         rule, length = _blocks(body)
         rules.append(rule)
         lengths.append(length)
-        rows.append([kind, note_kind(text), 0, 0.0, 0.0, 1 - len(squeezed) / max(1, len(bare)), sum(len(x) <= 2 for x in names) / max(1, len(names)),
+        rows.append([kind, note_kind(text), 0, 0.0, 0.0, 1 - len(squeezed) / max(1, len(bare)), short / max(1, names),
                      (literal + digits) / max(1, len(code)), noise, len(body)])
     sizes = np.array([len(s) for _, s in sequences], dtype=np.int64)
     if sizes.sum():

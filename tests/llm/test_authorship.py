@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from echofold.llm.authorship import incompressible, not_hand_written, note_kind, path_kind
+from echofold.llm.authorship import FEATURES, batch_features, incompressible, not_hand_written, note_kind, path_kind
 from echofold.llm.repair import repair
 
 SCHEMA = "file_id long, repo string, path string, content string, kind string"
@@ -78,3 +78,13 @@ def test_copies_already_flagged_count_for_unmarked_ones(spark):
     rows = [(i, f"r{i}", f"node_modules/lib/c{i}.py", library, "k") for i in range(3)] + [(9, "r9", "src/c.py", library, "k"), (10, "r10", "src/own.py", hand(51, 60), "k")]
     got = {r.file_id: r.kind for r in not_hand_written(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0: "vendored", 1: "vendored", 2: "vendored", 9: "vendored"}
+
+
+def feature(name, path, content):
+    return batch_features([path], [content])[0][0][list(FEATURES).index(name)]
+
+
+def test_names_of_the_whole_text():
+    head = "".join(f"moduleNumber{i}=loadModule({i});" for i in range(1500))
+    mini = "".join(f"function {a}(b,c){{return b.x?c:{a}(c)}}" for a in "abcdefgh" * 1200)
+    assert len(head) > 20_000 and feature("short_names", "a.js", head + mini) > 0.5 and feature("short_names", "a.js", mini[:21_000] + head * 20) < 0.5
