@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,18 @@ _LINE = re.compile(r"\r\n|\r|\n")
 _COMMENT_LINE = re.compile(r"[ \t]*(?://|#(?!include|define|if|endif)|/\*|\*(?!\w)|--|;;|<!--|'''|\"\"\")")
 _COMMENTS = re.compile(r"(?m)^[ \t]*(?://|#(?!include|define|if|endif)|--|;;|\*(?!\w)|/\*).*$|/\*[^*]*\*/")
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
+# Literals over many lines, tried before those of one line: triple quotes, raw strings of C++ and Rust, template literals.
+_LONG = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""|\bR"(?P<c>[^()\\\s"]{0,16})\((?s:.*?)\)(?P=c)"|\bb?r(?P<r>#+)"(?s:.*?)"(?P=r)'
+_SINGLES = r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''"
+_BACKTICKS = r"|`(?:[^`\\]++|\\[\s\S])*+`"
+_LITERAL = {(s, b): re.compile(_LONG + _SINGLES * s + _BACKTICKS * b + "|" + _STRING.pattern) for s in (False, True) for b in (False, True)}
+# where a backtick opens a string (elsewhere it quotes names or runs commands), and where three single quotes don't
+_TEMPLATES = re.compile(r"(?i)\.(?:[cm]?[jt]s|[jt]sx|vue|svelte|go)$|(?:^|/)[^./]*$")
+_DOUBLED = re.compile(r"(?i)\.(?:sql|ddl|psql|vb|bas)$")
+_HEREDOC = re.compile(r"<<(<?[-~]?)[ \t]*([\"']?)([A-Za-z_]\w*)\2")
+_HEREDOC_END = re.compile(r"(?m)^([ \t]*)([A-Za-z_]\w*)([;)]*)[ \t]*$")
+_OPENS = re.compile(r'"""|\'\'\'|`|<<|\bR"|\br#|\bbr#')
+_LAYOUT = re.compile(r"\s*\n\s*")
 _IDENT = re.compile(r"[^\W\d]\w*(?:[ \t]+[^\W\d]\w*)*")
 _NUMBER = re.compile(r"[-+]?\d[\w.]*")
 _SWITCH = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])")
@@ -102,6 +115,42 @@ def incompressible(literals: str) -> float:
     return coded / (len(codes) * math.log2(len(names)))
 
 
+def _heredocs(code: str) -> tuple[str, list[str]]:
+    """A text with a quote sign for the body of every heredoc, and the bodies. The end of one stands alone in its line, and
+    unindented unless the opening (``<<-``, ``<<~``, ``<<<``) allows else; without an end it is a shift."""
+    words = {m[3] for m in _HEREDOC.finditer(code)}
+    ends: dict[tuple[str, bool], list[int]] = {}
+    for m in _HEREDOC_END.finditer(code) if words else ():
+        if m[2] in words:
+            ends.setdefault((m[2], True), []).append(m.start())
+            if not m[1] and not m[3]:
+                ends.setdefault((m[2], False), []).append(m.start())
+    kept, bodies, at = [], [], 0
+    for m in _HEREDOC.finditer(code) if ends else ():
+        body = code.find("\n", m.end()) + 1
+        close = ends.get((m[3], bool(m[1])), [])
+        i = bisect_left(close, body)
+        if m.start() >= at and body and i < len(close):
+            kept += [code[at:body], '"\n']
+            bodies.append(code[body : close[i]])
+            at = close[i]
+    return ("".join(kept) + code[at:], bodies) if bodies else (code, [])
+
+
+def long_literals(path: str | None, code: str) -> tuple[int, str]:
+    """How many characters of a text lie in literals, those over many lines too, and their contents without line ends and indents."""
+    outside, bodies = _heredocs(code) if "<<" in code else (code, [])
+    pattern = _LITERAL[not _DOUBLED.search(path or ""), "`" in code and bool(_TEMPLATES.search(path or ""))]
+    found = [m[0] for m in pattern.finditer(outside)]
+    inner = [x[3:-3] if x.startswith(('"""', "'''")) else x[1:-1] for x in found] + bodies
+    return sum(map(len, found + bodies)), "".join(_LAYOUT.sub("", x) if "\n" in x else x for x in inner)
+
+
+def _noise(literals: str) -> float:
+    # words, however many, keep to one kind of letter; encoded bytes switch all the time
+    return incompressible(literals) if literals and len(_SWITCH.findall(literals)) > 0.1 * len(literals) else 0.0
+
+
 def _blocks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rules over whole lines: blocks between lines whose hash is a local minimum, so that equal stretches of two files are
     cut alike whatever stands around them. Hash and number of lines of every inner block."""
@@ -128,7 +177,7 @@ def hash_text(text: str) -> int:
 
 FEATURES = {
     "path_kind": "string", "note_kind": "string", "tokens": "int", "deep24": "double", "coded": "double",
-    "white": "double", "short_names": "double", "literals": "double", "noise": "double", "lines": "int",
+    "white": "double", "short_names": "double", "literals": "double", "noise": "double", "lines": "int", "quoted": "double",
 }
 
 
@@ -138,7 +187,7 @@ def batch_features(paths: list, contents: list) -> tuple[list[list], list[np.nda
     for path, content in zip(paths, contents, strict=True):
         kind = path_kind(path)
         if content is None:
-            rows.append([kind, None, None, None, None, None, None, None, None, None])
+            rows.append([kind, *[None] * (len(FEATURES) - 1)])
             rules.append(np.zeros(0, np.int64))
             lengths.append(np.zeros(0, np.int64))
             continue
@@ -150,8 +199,13 @@ def batch_features(paths: list, contents: list) -> tuple[list[list], list[np.nda
         share = literal / max(1, len(code))
         digits = len(bare) - len(bare.encode("ascii", "replace").translate(None, b"0123456789"))
         literals = "".join(x[1:-1] for x in _STRING.findall(code)) if share > 0.4 else ""
-        # words, however many, keep to one kind of letter; encoded bytes switch all the time
-        noise = incompressible(literals) if literals and len(_SWITCH.findall(literals)) > 0.1 * len(literals) else 0.0
+        noise = _noise(literals)
+        # literals over many lines stay in the grammar, which sees what is regular in them
+        quoted = share
+        if _OPENS.search(code):
+            size, literals = long_literals(path, code)
+            quoted = max(share, size / len(code))
+            noise = max(noise, _noise(literals)) if quoted > 0.4 else noise
         names = short = 0
         if len(squeezed) > 0.88 * len(bare):
             for m in _NAME.finditer(bare):
@@ -163,7 +217,7 @@ def batch_features(paths: list, contents: list) -> tuple[list[list], list[np.nda
         rules.append(rule)
         lengths.append(length)
         rows.append([kind, note_kind(text), 0, 0.0, 0.0, 1 - len(squeezed) / max(1, len(bare)), short / max(1, names),
-                     (literal + digits) / max(1, len(code)), noise, len(body)])
+                     (literal + digits) / max(1, len(code)), noise, len(body), max(quoted, (literal + digits) / max(1, len(code)))])
     sizes = np.array([len(s) for _, s in sequences], dtype=np.int64)
     if sizes.sum():
         g = repair(np.concatenate([s for _, s in sequences]).astype(np.int64), sizes)
@@ -204,7 +258,7 @@ def grammar_kind() -> F.Column:
         F.when(F.col("path_kind").isNotNull(), F.col("path_kind"))
         .when(F.col("note_kind").isNotNull(), F.col("note_kind"))
         .when((F.col("white") < 0.12) & (F.col("short_names") > 0.5) & (F.col("tokens") >= 40), "minified")
-        .when((F.col("literals") > 0.5) & ((F.col("noise") > 0.85) | deep), "data")
+        .when(((F.col("quoted") > 0.5) & (F.col("noise") > 0.85)) | ((F.col("literals") > 0.5) & deep), "data")
         .when(deep & (F.col("tokens") >= 48), "generated")
     )
 

@@ -88,3 +88,14 @@ def test_names_of_the_whole_text():
     head = "".join(f"moduleNumber{i}=loadModule({i});" for i in range(1500))
     mini = "".join(f"function {a}(b,c){{return b.x?c:{a}(c)}}" for a in "abcdefgh" * 1200)
     assert len(head) > 20_000 and feature("short_names", "a.js", head + mini) > 0.5 and feature("short_names", "a.js", mini[:21_000] + head * 20) < 0.5
+
+
+def test_blobs_over_many_lines():
+    rng = random.Random(8)
+    lines = "\n".join("    " + "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(76)) for _ in range(40))
+    for path, text in [("a.js", f"const x = `\n{lines}\n`;"), ("a.py", f'X = """\n{lines}\n"""'), ("a.py", f"X = '''\n{lines}\n'''"), ("a.sh", f"base64 -d <<'EOF'\n{lines}\nEOF\n"), ("a.php", f"<?php $x = <<<EOT\n{lines}\n  EOT;\n"),
+                       ("a.rb", f"X = <<~B\n{lines}\n  B\n"), ("a.cc", f'auto x = R"z({lines})z";'), ("a.rs", f'let x = r#"{lines}"#;'), (None, f"x = `{lines}`")]:
+        assert feature("noise", path, text) > 0.85 and feature("quoted", path, text) > 0.5, path
+    # neither shifts, nor names in backticks, nor doubled quotes open a literal
+    for path, text in [("a.c", "int a = 1 << N;\nb = 1 << N;\n  N;\n" + "f(x);\n" * 9), ("a.sql", "select `a from t;\n" + "select b;\n" * 9 + "select c`;"), ("b.sql", "select '''a'' b';\n" + "select b;\n" * 9 + "select '''';")]:
+        assert feature("quoted", path, text) < 0.3, path
