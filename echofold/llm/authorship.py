@@ -50,6 +50,7 @@ VENDORED_NOTE = re.compile(
 
 _LINE = re.compile(r"\r\n|\r|\n")
 _COMMENT_LINE = re.compile(r"[ \t]*(?://|#(?!include|define|if|endif)|/\*|\*(?!\w)|--|;;|<!--|'''|\"\"\")")
+_BLOCK = re.compile(r"[ \t]*(/\*|<!--|'''|\"\"\")")
 _COMMENTS = re.compile(r"(?m)^[ \t]*(?://|#(?!include|define|if|endif)|--|;;|\*(?!\w)|/\*).*$|/\*[^*]*\*/")
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
 # Literals over many lines, tried before those of one line: triple quotes, raw strings of C++ and Rust, template literals.
@@ -83,14 +84,18 @@ def path_kind(path: str | None) -> str | None:
 
 
 def note_kind(text: str, code_lines: int = 5) -> str | None:
-    """What the comments say with which a file begins: those before its first ``code_lines`` lines of code."""
+    """What the comments say with which a file begins: those before its first ``code_lines`` lines of code.
+    Block comments and docstrings are comments on all their lines."""
     code = 0
     at = 0
+    inside = 0  # where the block comment or docstring that is open ends
     while at < len(text) and code < code_lines:
         end = text.find("\n", at)
         line = text[at : end if end >= 0 else len(text)]
-        at += len(line) + 1
-        if _COMMENT_LINE.match(line):
+        if at >= inside and (m := _BLOCK.match(line)):
+            close = "*/" if m[1] == "/*" else "-->" if m[1] == "<!--" else m[1]
+            inside = max(inside, text.find(close, at + m.end()))
+        if at < inside or _COMMENT_LINE.match(line):
             if not BY_HAND.search(line):
                 if GENERATED_NOTE.search(line):
                     return "generated"
@@ -98,6 +103,7 @@ def note_kind(text: str, code_lines: int = 5) -> str | None:
                     return "vendored"
         elif line.strip():
             code += 1
+        at += len(line) + 1
     return None
 
 

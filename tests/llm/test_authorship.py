@@ -99,3 +99,11 @@ def test_blobs_over_many_lines():
     # neither shifts, nor names in backticks, nor doubled quotes open a literal
     for path, text in [("a.c", "int a = 1 << N;\nb = 1 << N;\n  N;\n" + "f(x);\n" * 9), ("a.sql", "select `a from t;\n" + "select b;\n" * 9 + "select c`;"), ("b.sql", "select '''a'' b';\n" + "select b;\n" * 9 + "select '''';")]:
         assert feature("quoted", path, text) < 0.3, path
+
+
+@pytest.mark.parametrize("text,want", [
+    ("/*\n   Copyright Y\n   a\n   b\n   c\n   d\n   This file was generated by z\n*/\nx", "generated"), ("<!--\n  a\n  This file was generated by z\n-->\n<x/>", "generated"),
+    ('"""\na\nb\nc\nd\ne\nVerbatim copy of b.\n"""\nx', "vendored"), ("/* a */\na\nb\nc\nd\ne\nThis file was generated by z\n", None), ("/* open\na\nb\nc\nd\ne\nf\nThis file was generated by z\n", None),
+])
+def test_notes_inside_blocks(text, want):
+    assert note_kind(text) == want
