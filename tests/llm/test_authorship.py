@@ -107,3 +107,17 @@ def test_blobs_over_many_lines():
 ])
 def test_notes_inside_blocks(text, want):
     assert note_kind(text) == want
+
+
+def test_grammar_is_finished():
+    # digram i (of its own two symbols and the next one's) comes i + 2 times: counts rise along the sequence
+    rising = [x for k in range(60) for x in range(60 - k - 1, 60)] + list(range(60))
+    seqs = [np.array(rising), np.tile([1, 2, 3, 4, 5], 30), np.array([7, 7, 7]), np.array([3])]
+    g = repair(np.concatenate(seqs).astype(np.int64), np.array([len(s) for s in seqs]))
+    for i, s in enumerate(seqs):
+        left, seen = g.symbol[g.owner == i].tolist(), {}
+        for j, pair in enumerate(zip(left, left[1:], strict=False)):
+            assert j - seen.setdefault(pair, j) < 2, (i, pair)
+        assert g.span[g.owner == i].sum() == len(s)
+        alone = repair(s.astype(np.int64), np.array([len(s)]))
+        assert alone.span.tolist() == g.span[g.owner == i].tolist() and alone.rules[0] == g.rules[i]
