@@ -71,22 +71,23 @@ def strip_html(text: str) -> str:
     return html.unescape(_TAG.sub(" ", _BREAK.sub("\n", text)))
 
 
-def _parts(fields: dict[str, str], body: str, depth: int = 0):
-    """(kind, decoded text) of the inline text parts, in order; kind is plain or html."""
-    kind = fields.get("content-type", "text/plain")
-    low = kind.lower().lstrip()
-    boundary = _param(kind, "boundary") if low.startswith("multipart/") else ""
-    if boundary and depth < 8:
-        for piece in re.split(r"(?m)^--" + re.escape(boundary) + r"(?:--)?[ \t]*(?:\n|$)", body)[1:]:
-            if piece.strip():
-                # a part without header fields begins with an empty line
-                f, b = ({}, piece[1:]) if piece.startswith("\n") else split_headers(piece)
-                yield from _parts(f, b, depth + 1)
-        return
-    if "attachment" in fields.get("content-disposition", "").lower() or not low.startswith(("text/plain", "text/html", "text;")) and low.strip() != "text":
-        return
-    text = decode_body(body, fields.get("content-transfer-encoding", ""), _param(kind, "charset") or "utf-8")
-    yield ("html" if low.startswith("text/html") else "plain"), text
+def _parts(fields: dict[str, str], body: str):
+    """(kind, decoded text) of the inline text parts, in order and however deep; kind is plain or html."""
+    stack = [(fields, body)]
+    while stack:
+        fields, body = stack.pop()
+        kind = fields.get("content-type", "text/plain")
+        low = kind.lower().lstrip()
+        boundary = _param(kind, "boundary") if low.startswith("multipart/") else ""
+        if boundary:
+            pieces = re.split(r"(?m)^--" + re.escape(boundary) + r"(?:--)?[ \t]*(?:\n|$)", body)[1:]
+            # a part without header fields begins with an empty line
+            stack += [({}, x[1:]) if x.startswith("\n") else split_headers(x) for x in reversed(pieces) if x.strip()]
+            continue
+        if "attachment" in fields.get("content-disposition", "").lower() or not low.startswith(("text/plain", "text/html", "text;")) and low.strip() != "text":
+            continue
+        text = decode_body(body, fields.get("content-transfer-encoding", ""), _param(kind, "charset") or "utf-8")
+        yield ("html" if low.startswith("text/html") else "plain"), text
 
 
 def body_text(message: str) -> str:

@@ -63,4 +63,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).where("kind not in ('prose', 'empty')").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found)}
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document."""
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found, p9_stats)}

@@ -62,3 +62,16 @@ def test_rows(spark):
     assert rows[2].kind == "empty" and rows[3].kind == "prose" and rows[4].kind == "junk"
     assert quality(df).count() == 6
     assert quality(df.limit(0)).columns == ["id", *STATS]
+
+
+def test_deeply_nested_parts_and_statistics_of_all(spark, tmp_path):
+    from echofold.llm.mail import body_text
+    from echofold.llm.quality import STATS
+    from echofold.llm.queries import p9_stats
+
+    depth = 2000
+    message = "".join(f"Content-Type: multipart/mixed; boundary=b{i}x\n\n--b{i}x\n" for i in range(depth)) + "Content-Type: text/plain\n\nalpha beta\n" + "".join(f"--b{i}x--\n" for i in reversed(range(depth)))
+    assert body_text(message).strip() == "alpha beta"
+    spark.createDataFrame([(1, message), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in p9_stats(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and set(STATS) < set(got[1].asDict()) and got[1].words == 2 and got[2].kind is None and got[3].kind == "empty"
