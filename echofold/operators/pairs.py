@@ -107,9 +107,11 @@ def candidate_pairs(units: DataFrame, min_shared: int = K.MIN_SHARED) -> DataFra
             .groupBy(F.col("x.unit_id").alias("a"), F.col("y.unit_id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared))
 
 
-def containment_pairs(units: DataFrame, threshold: float = K.SCAN_THRESHOLD, contained: float = K.CONTAINMENT, min_shared: int = K.MIN_SHARED) -> DataFrame:
+def containment_pairs(units: DataFrame, threshold: float = K.SCAN_THRESHOLD, contained: float = K.CONTAINMENT, min_shared: int = K.MIN_SHARED, members: DataFrame | None = None) -> DataFrame:
     """``small, large, containment``: pairs below the similarity threshold of which the smaller set (a tie: the smaller id) lies
-    to at least ``contained`` in the larger. Units with ``file_id, start_byte, end_byte`` lexically inside each other are left out."""
+    to at least ``contained`` in the larger. Units with ``file_id, start_byte, end_byte`` lexically inside each other are left out.
+    With ``members`` (``unit_id, rep`` and the place) the units stand for classes: a pair is left out if each member of one lies inside
+    or around each of the other."""
     sets = _rarest_first(units)
     size = F.size("fps")
     # the small set's rarest fingerprints meet all of a larger set's; one of them must be there
@@ -122,7 +124,18 @@ def containment_pairs(units: DataFrame, threshold: float = K.SCAN_THRESHOLD, con
     place = lambda p: units.select(F.col("unit_id").alias(p), F.col("file_id").alias(p + "_file"), F.col("start_byte").alias(p + "_from"), F.col("end_byte").alias(p + "_to"))
     inside = lambda i, o: (F.col(i + "_from") >= F.col(o + "_from")) & (F.col(i + "_to") <= F.col(o + "_to"))
     nested = (F.col("small_file") == F.col("large_file")) & (inside("small", "large") | inside("large", "small"))
-    return found.join(place("small"), "small").join(place("large"), "large").where(~F.coalesce(nested, F.lit(False))).select("small", "large", "containment")
+    placed = found.join(place("small"), "small").join(place("large"), "large").withColumn("nested", F.coalesce(nested, F.lit(False)))
+    if members is None:
+        return placed.where("not nested").select("small", "large", "containment")
+    # only pairs whose representatives are nested are looked at by members, and only if both classes lie in one and the same file
+    spread = members.groupBy("rep").agg(F.min("file_id").alias("f"), (F.count("file_id") == F.count(F.lit(1))).alias("known"), F.max("file_id").alias("g"), F.count(F.lit(1)).alias("n")).where("known and f = g")
+    one = lambda p: spread.select(F.col("rep").alias(p), F.col("f").alias(p + "_f"), F.col("n").alias(p + "_n"))
+    open_ = placed.where("nested").select("small", "large").join(one("small"), "small").join(one("large"), "large").where("small_f = large_f").select("small", "large", F.col("small_n"), F.col("large_n"))
+    spot = lambda p: members.select(F.col("rep").alias(p), F.col("start_byte").alias(p + "_from"), F.col("end_byte").alias(p + "_to"))
+    each = open_.join(spot("small"), "small").join(spot("large"), "large")
+    dropped = (each.groupBy("small", "large").agg(F.count_if(F.coalesce(inside("small", "large") | inside("large", "small"), F.lit(False))).alias("k"), F.max("small_n").alias("i"), F.max("large_n").alias("j"))
+               .where("k = i * j").select("small", "large"))
+    return placed.join(dropped, ["small", "large"], "left_anti").select("small", "large", "containment")
 
 
 def best_container(pairs: DataFrame) -> DataFrame:

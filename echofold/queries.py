@@ -84,6 +84,15 @@ def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(pairs.set_classes(_culled(spark, sf_dir))[1], "class-reps")
 
 
+def _contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment between classes; members decide what is nested."""
+    from .scratch import materialize
+
+    units = _culled(spark, sf_dir)
+    members, reps = pairs.set_classes(units)
+    return pairs.containment_pairs(materialize(reps, "class-reps"), members=members.join(units.select("unit_id", "file_id", "start_byte", "end_byte"), "unit_id"))
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _culled(spark, sf_dir)
     return clusters.ranked_members(units, pairs.similar_links(units))
@@ -196,12 +205,12 @@ contained AS (SELECT small, large, containment FROM sided JOIN units1 s ON s.uni
 
 @query(f"WITH {_CONTAINED} SELECT small, large, round(containment, 6) AS containment FROM contained")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.containment_pairs(_reps(spark, sf_dir)).withColumn("containment", r6(F.col("containment")))
+    return _contained(spark, sf_dir).withColumn("containment", r6(F.col("containment")))
 
 
 @query(f"WITH {_CONTAINED} SELECT small, large, round(containment, 6) AS containment FROM contained QUALIFY row_number() OVER (PARTITION BY small ORDER BY containment DESC, large) = 1")
 def best_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.best_container(pairs.containment_pairs(_reps(spark, sf_dir))).withColumn("containment", r6(F.col("containment")))
+    return pairs.best_container(_contained(spark, sf_dir)).withColumn("containment", r6(F.col("containment")))
 
 
 # ---- clusters and score ----------------------------------------------------------------------------------------------

@@ -81,6 +81,18 @@ def test_containment_and_nesting(spark):
     assert pairs.best_container(pairs.containment_pairs(make(spark, inner))).collect() == [(1, 2, 1.0)]
 
 
+def test_nesting_is_tested_on_members(spark):
+    unit = lambda i, file, start, end, fps: (i, "a", file, "f", "n", 1, 2, start, end, 5, False, False, fps)
+    inner, outer = list(range(5)), list(range(50))
+    rows = [unit(1, 7, 10, 20, inner), unit(2, 7, 0, 90, outer)]
+    for copies, want in [([], []), ([unit(3, 8, 10, 20, inner)], [(1, 2)]), ([unit(3, 7, 30, 40, inner)], []), ([unit(3, 7, 95, 99, inner)], [(1, 2)])]:
+        df = make(spark, rows + copies)
+        members, reps = pairs.set_classes(df)
+        got = pairs.containment_pairs(reps, members=members.join(df.select("unit_id", "file_id", "start_byte", "end_byte"), "unit_id"))
+        assert [(r.small, r.large) for r in got.collect()] == want
+        assert pairs.containment_pairs(reps).count() == 0
+
+
 def test_cull(spark):
     rows = [(i, "a", 0, "f", "n", 1, 2, 0, 1, 5, False, False, [7, i + 100]) for i in range(30)] + [(50 + i, "b", 0, "f", "n", 1, 2, 0, 1, 5, False, False, [7]) for i in range(3)] + [(99, None, 0, "f", "n", 1, 2, 0, 1, 5, False, False, None)]
     culled = {r.unit_id: r.fps for r in pairs.cull(make(spark, rows), floor=10).collect()}
