@@ -17,7 +17,7 @@ _SOFT = re.compile(r"=[ \t]*\n")
 _HEX = re.compile(r"((?:=[0-9A-Fa-f]{2})+)")
 _DROP = re.compile(r"(?is)<(script|style|head|title)\b.*?</\1\s*>|<!--.*?-->")
 _BREAK = re.compile(r"(?i)<(?:br|/p|/div|/tr|/li|/h\d|hr)\b[^>]*>\n?")
-_TAG = re.compile(r"<[^>\n]{0,400}>")
+_TAG = re.compile(r"<[/!?A-Za-z][^<>]*>")
 
 
 def lines_of(text: str) -> str:
@@ -104,12 +104,6 @@ _QUOTED = re.compile(r"[ \t]*[>＞]")
 _RULED = re.compile(r"[ \t]*(?:[-_=*~]{5,}|\*(?: \*){2,})[ \t]*$")
 _FORWARD = re.compile(r"[ \t]*-{2,}[ \t]*[^\W\d_][^\n]*[^\W_][ \t]*-{2,}[ \t]*$|(?:Begin forwarded message|Anfang der weitergeleiteten Nachricht|Début du message réexpédié)\s*:")
 _FIELD_LINE = re.compile(r"[ \t]*(?:From|Von|De|От|From |Sent|Gesendet|Envoyé|Enviado|差出人|送信者|Date|Datum|Fecha)[ \t]?[:：]")
-# Words by which a paragraph shows that it is a notice under a message.
-_NOTICE = re.compile(
-    r"(?i)\b(?:confidential|vertraulich|confidentiel|confidencial|конфиденциальн\w*|disclaimer|unsubscribe|"
-    r"received (?:it|this \S+) in error|irrtümlich|par erreur|por error|по ошибке|только для указанного|no contract is formed|"
-    r"because you are on the list|leave the list|before you print this|scanned this mail)\b|機密|誤って受信|宛先の方のみ"
-)
 _SIGNATURE = re.compile(r"(?:--|__|==|~~|—|––)[ \t]*$")
 _NAME = re.compile(r"[ \t]*[^\W\d_a-zа-яё][\w.'’-]*(?: [^\W\d_a-zа-яё][\w.'’-]*)?[ \t]*$")
 _OPENING_END = (",", ":", "-", "–", "!", "様", "各位", "お疲れ様です。", "お世話になっております。")
@@ -118,8 +112,8 @@ _OPENING_END = (",", ":", "-", "–", "!", "様", "各位", "お疲れ様です
 def own_words(body: str) -> list[str]:
     """The paragraphs (lines joined by ``\\n``) that the sender wrote in this message.
 
-    Left out: quoted lines with the line that introduces them, forwarded messages, signatures, notices under a
-    rule, greeting and closing. What can't be told apart stays in.
+    Left out: quoted lines with the line that introduces them, forwarded messages, signatures, greeting and closing. What
+    can't be told apart stays in; notices are told from the corpus (``quality``), since they are the same under many messages.
     """
     lines = body.split("\n")
     paras: list[list[str]] = [[]]
@@ -164,7 +158,7 @@ def own_words(body: str) -> list[str]:
         else:
             paras[-1].append(line)
         i += 1
-    kept = [p for p in paras if p and not (len(p) <= 12 and _NOTICE.search(" ".join(p)))]
+    kept = [p for p in paras if p]
     if kept and len(kept) > 1 and len(kept[0]) == 1 and len(kept[0][0]) <= 48 and kept[0][0].rstrip().endswith(_OPENING_END) and kept[0][0].count(" ") <= 5:
         kept.pop(0)
     kept = [p for p in kept if not (len(p) == 2 and len(p[0]) <= 40 and p[0].count(" ") <= 4 and not re.search(r"[\d;|\t]", p[0]) and _NAME.match(p[1]))]
