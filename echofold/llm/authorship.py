@@ -3,8 +3,9 @@
 Each file gets a Re-Pair grammar of its token classes (identifiers, numbers and strings are one class each, comments are
 left out). Hand-written code repeats statements, but not stretches of many statements: where most of a file lies in rules
 of two dozen tokens and more, a tool wrote it, or it is a table. Literals whose own grammar saves nothing over their alphabet are
-blobs. Rules over whole lines that turn up in several repositories show a copy that was taken over. Next to the grammars
-stand the plain signs: places and names of files, notices in the leading comments, and code without white space.
+blobs. What repositories share shows copies that were taken over: rules over whole lines that turn up in several of them, and names of
+packages, learnt from paths, which a file's first comments cite with a version. Next to the grammars stand the plain signs: places and names of
+files, the usual wording of notices in the first comments, and code without white space.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, spread
+from ..scratch import materialize, small, spread
 from ..sources.tables import compared_path
 from .hashing import U64, mix
 from .repair import repair
@@ -34,19 +36,32 @@ GENERATED_PATH = re.compile(
     r"|\.(?:generated|gen|g|pb|designer|bundle|freezed)\.\w+$|_(?:pb2|pb2_grpc|pb|generated|autogen)\.\w+$"
 )
 MINIFIED_PATH = re.compile(r"(?i)[.-]min\.\w+$")
-# Notices of generators and of whoever copied a file, in the comments a file begins with.
-BY_HAND = re.compile(r"(?i)by hand\b(?!\s*(?:edit|chang))|hand-?written|this version is ours|ours now")
-GENERATED_NOTE = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\b(?:code|file|source|class|module|client|stub)s? (?:is |was |were |has been |have been )?(?:auto-?|automatically |machine-?)?(?:generated|created automatically|produced automatically)\b"
-    r"|\b(?:automatically|auto-?|machine-?)\s?(?:generated|created|produced) (?:by|from|with|using|out of|files?\b|code\b|sources?\b)|machine[- ](?:written|generated|made)|\bderived file\b|source of truth:"
-    r"|\b(?:hand|manual) (?:edits?|changes?|modifications?)\b.*\b(?:lost|survive|overwritten|discarded)|\bany changes?\b.*\b(?:overwritten|lost)"
-    r"|^\W*(?:output of \S+ .*\bfor\b|built by \S+ out of|emitted by)|\bautomatisch (?:erzeugt|generiert|erstellt)|nicht von hand (?:ändern|aendern|bearbeiten|editieren)"
-    r"|fichier (?:produit|généré|genere)|généré automatiquement|ne pas modifier|generado automáticamente|no modificar a mano|сгенерирован|не редактировать вручную|自動生成"
-)
-VENDORED_NOTE = re.compile(
-    r"(?i)\bvendored\b|verbatim copy|third[- ]party (?:code|file|source|library)|taken over unchanged|\bfrom the .*\b(?:release|tarball)\b|upstream owns|changes upstream|\bupstream:"
-    r"|backport of .*as shipped|as shipped by its authors|kopie aus\b.*\bnicht\b|copie (?:de|conforme)|copia de .*\bno\b|^\W*[\w.@/-]+ v?\d+(?:\.\d+)+ \| (?:\(c\)|©|copyright)"
+# How notices are put, as classes of words: what is spoken of, what was done to it, how, by what, and what a change is worth.
+_SELF = r"(?:code|file|source|class|module|client|stub|datei|fichier|archivo|файл)s?"
+_MADE = r"(?:generated|created|produced|emitted|written|built|derived|generiert|erzeugt|erstellt|généré|produit|genere|generado|сгенерирован\w*)"
+_HOW = r"(?:auto|automatically|machine|automatisch|automatiquement|automáticamente|автоматически)"
+_BY = r"(?:by|from|with|using|out of|of|mit|aus|von|par|depuis|por|desde|de|из)"
+_IS = r"(?:is|was|were|has been|have been|wurde|est|a été|fue|был)"
+BY_HAND = re.compile(r"(?i)hand-?written|\b(?:written|maintained|made|kept) by hand\b")
+GENERATED_NOTE = re.compile("|".join([
+    rf"(?i)@generated\b|<auto-?generated|\b{_HOW}[- ]?{_MADE} (?:{_BY}|{_SELF})\b|\b{_MADE} {_HOW}\b",
+    rf"\b{_SELF} (?:{_IS} )?(?:{_HOW}[- ]?)?{_MADE}\b",
+    rf"^\W*(?:{_HOW}[- ]?)?(?:{_MADE}|output|ausgabe|sortie)(?: {_HOW})? {_BY}\b",
+    rf"^\W*(?:this is )?(?:an? )?(?:{_HOW}[- ]?)?{_MADE} {_SELF}\b|\bmachine[- ](?:written|made)\b|自動生成",
+    r"\b(?:do not|don't|never) (?:edit|modify|change)(?: (?:it|this|this file|the file|by hand|manually|directly))*\s*(?:[.!;*]|-->|$)",
+    r"\b(?:changes?|edits?|modifications?)\b[^.;]*\b(?:lost|overwritten|discarded|survive)\b(?!-)",
+    r"\bnicht (?:von hand|manuell) \w+|\bne pas (?:modifier|éditer)\b|\bno (?:modificar|editar)\b|\bне (?:редактировать|изменять)\b",
+]))
+VENDORED_NOTE = re.compile(r"(?i)\bvendored\b|\bthird[- ]party (?:code|file|source|library)|^\W*[\w.@/-]+ v?\d+(?:\.\d+)+ \| (?:\(c\)|©|copyright)")
+#: A package's name in a path: what follows a vendored place, or stands before a version.
+_PACKAGE = re.compile(
+    r"(?i)(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|vendor|third[_-]?party|3rd[_-]?party|pods|carthage)/((?:@[\w.-]+/)?[a-z][\w.]*(?:-[a-z][\w.]*)*)"
+    r"|/([\w.@]*?[a-z][\w.@]*?(?:-[a-z][\w.@]*?)*)-v?\d+\.\d+(?:\.\d+)*(?:[.-]min)?(?:/|\.\w+$)"
 )
+_VERSION = re.compile(r"(?i)(?<![\d.])v?\d+\.\d+|\brev(?:ision)?\.? ?\d|\bversion \d")
+_CITED = re.compile(r"(?:@[\w.-]+/)?[a-z][\w.]*(?:-[a-z][\w.]*)*")
+#: A line of such words names a package without being taken from it.
+_APART = re.compile(r"(?i)\b(?:inspired|modelled|ours|own|rewrit\w+|rewrote|replac\w+|instead|compatible|similar|unlike|requires?|needs?|uses?|wraps?|tested)\b")
 
 _LINE = re.compile(r"\r\n|\r|\n")
 _COMMENT_LINE = re.compile(r"[ \t]*(?://|#(?!include|define|if|endif)|/\*|\*(?!\w)|--|;;|<!--|'''|\"\"\")")
@@ -83,10 +98,10 @@ def path_kind(path: str | None) -> str | None:
     return "generated" if GENERATED_PATH.search(path) else None
 
 
-def note_kind(text: str, code_lines: int = 5) -> str | None:
-    """What the comments say with which a file begins: those before its first ``code_lines`` lines of code.
-    Block comments and docstrings are comments on all their lines."""
-    code = 0
+def head_comments(text: str, code_lines: int = 5) -> list[str]:
+    """The lines of the comments with which a file begins, which is where a notice stands: those before its first ``code_lines`` lines
+    of code. Block comments and docstrings are comments on all their lines."""
+    found, code = [], 0
     at = 0
     inside = 0  # where the block comment or docstring that is open ends
     while at < len(text) and code < code_lines:
@@ -96,17 +111,36 @@ def note_kind(text: str, code_lines: int = 5) -> str | None:
             close = "*/" if m[1] == "/*" else "-->" if m[1] == "<!--" else m[1]
             inside = max(inside, text.find(close, at + m.end()))
         if at < inside or _COMMENT_LINE.match(line):
-            if not BY_HAND.search(line):
-                if GENERATED_NOTE.search(line):
-                    return "generated"
-                if VENDORED_NOTE.search(line):
-                    return "vendored"
+            found.append(line)
         elif line.strip():
             code += 1
         at += len(line) + 1
+    return found
+
+
+def note_kind(text: str) -> str | None:
+    """What the comments say with which a file begins, in the usual words of notices."""
+    for line in head_comments(text):
+        if not BY_HAND.search(line):
+            if GENERATED_NOTE.search(line):
+                return "generated"
+            if VENDORED_NOTE.search(line):
+                return "vendored"
     return None
 
 
+def package_of(path: str | None) -> str | None:
+    """The package that a path names, in lower case."""
+    m = _PACKAGE.search(path or "")
+    return (m[1] or m[2]).lower() if m else None
+
+
+def cited_names(text: str) -> list[str]:
+    """What the comments at the beginning name beside a version, in lower case: packages, should one of the words be one."""
+    lines = [x.lower() for x in head_comments(text) if _VERSION.search(x) and not _APART.search(x)]
+    return sorted({w.rstrip(".") for x in lines for w in _CITED.findall(x) if len(w) > 2})
+
+
 def incompressible(literals: str) -> float:
     """Bits of the Re-Pair grammar of a text against those its alphabet alone would take: near 1 or above for noise."""
     raw = np.frombuffer(literals.encode("utf-8", "replace"), dtype=np.uint8)
@@ -182,18 +216,19 @@ def hash_text(text: str) -> int:
 
 
 FEATURES = {
-    "path_kind": "string", "note_kind": "string", "tokens": "int", "deep24": "double", "coded": "double",
+    "path_kind": "string", "package": "string", "note_kind": "string", "tokens": "int", "deep24": "double", "coded": "double",
     "white": "double", "short_names": "double", "literals": "double", "noise": "double", "lines": "int", "quoted": "double",
 }
 
 
-def batch_features(paths: list, contents: list) -> tuple[list[list], list[np.ndarray], list[np.ndarray]]:
-    """Columns of ``FEATURES`` and the line rules (hashes, lengths) of a batch of files; null content has null features."""
-    rows, sequences, rules, lengths = [], [], [], []
+def batch_features(paths: list, contents: list) -> tuple[list[list], list[np.ndarray], list[np.ndarray], list[list[str]]]:
+    """Columns of ``FEATURES``, the line rules (hashes, lengths) and the cited names of a batch of files; null content has null features."""
+    rows, sequences, rules, lengths, cited = [], [], [], [], []
     for path, content in zip(paths, contents, strict=True):
         kind = path_kind(path)
         if content is None:
-            rows.append([kind, *[None] * (len(FEATURES) - 1)])
+            rows.append([kind, package_of(path), *[None] * (len(FEATURES) - 2)])
+            cited.append([])
             rules.append(np.zeros(0, np.int64))
             lengths.append(np.zeros(0, np.int64))
             continue
@@ -222,38 +257,61 @@ def batch_features(paths: list, contents: list) -> tuple[list[list], list[np.nda
         rule, length = _blocks(body)
         rules.append(rule)
         lengths.append(length)
-        rows.append([kind, note_kind(text), 0, 0.0, 0.0, 1 - len(squeezed) / max(1, len(bare)), short / max(1, names),
+        cited.append(cited_names(text))
+        rows.append([kind, package_of(path), note_kind(text), 0, 0.0, 0.0, 1 - len(squeezed) / max(1, len(bare)), short / max(1, names),
                      (literal + digits) / max(1, len(code)), noise, len(body), max(quoted, (literal + digits) / max(1, len(code)))])
     sizes = np.array([len(s) for _, s in sequences], dtype=np.int64)
     if sizes.sum():
         g = repair(np.concatenate([s for _, s in sequences]).astype(np.int64), sizes)
         deep24, coded = g.covered(24), g.coded()
         for j, (i, _) in enumerate(sequences):
-            rows[i][2:5] = [int(sizes[j]), float(deep24[j]), float(coded[j])]
-    return rows, rules, lengths
+            rows[i][3:6] = [int(sizes[j]), float(deep24[j]), float(coded[j])]
+    return rows, rules, lengths, cited
 
 
 _DROP = {c: None for c in map(ord, " \t\n\r\f\v")}
 
 
+#: Characters of content that are looked at together (a longer file is alone): bounds the memory of the grammars' arrays.
+BATCH_CHARS = 4_000_000
+
+
+def _slices(contents: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, rows) of runs of rows that hold at most ``BATCH_CHARS`` bytes together."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(contents), 0)).astype(np.int64)
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and (held + n > BATCH_CHARS or i - first >= 4096):
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
+def _lists(parts: list, kind: pa.DataType) -> pa.Array:
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in parts]))).astype(np.int32))
+    flat = [x for r in parts for x in r] if pa.types.is_string(kind) else np.concatenate(parts)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, kind))
+
+
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, types = list(FEATURES), {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
     for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            part = batch.slice(i, 1024)
-            rows, rules, lengths = batch_features(part.column("path").to_pylist(), part.column("content").to_pylist())
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rules]))).astype(np.int32))
+        for first, count in _slices(batch.column("content")):
+            part = batch.slice(first, count)
+            rows, rules, lengths, cited = batch_features(part.column("path").to_pylist(), part.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column("file_id"), part.column("repo"), *(pa.array([r[j] for r in rows], types[FEATURES[n]]) for j, n in enumerate(names)),
-                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rules))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lengths)))],
-                names=["file_id", "repo", *names, "rules", "rule_lines"])
+                 _lists(rules, pa.int64()), _lists(lengths, pa.int64()), _lists(cited, pa.string())],
+                names=["file_id", "repo", *names, "rules", "rule_lines", "cited"])
 
 
 def file_features(files: DataFrame) -> DataFrame:
-    """``file_id, repo``, the columns of ``FEATURES``, ``rules`` and ``rule_lines`` of every row of ``files(file_id, repo, path, content)``."""
+    """``file_id, repo``, the columns of ``FEATURES``, ``rules``, ``rule_lines`` and ``cited`` of every row of ``files(file_id, repo, path, content)``."""
     fields = ", ".join(f"{n} {t}" for n, t in FEATURES.items())
     return spread(files.select("file_id", "repo", compared_path(F.col("path")).alias("path"), "content"), "file_id").mapInArrow(
-        _featurize, f"file_id long, repo string, {fields}, rules array<long>, rule_lines array<long>")
+        _featurize, f"file_id long, repo string, {fields}, rules array<long>, rule_lines array<long>, cited array<string>")
 
 
 def grammar_kind() -> F.Column:
@@ -269,21 +327,26 @@ def grammar_kind() -> F.Column:
     )
 
 
-def not_hand_written(files: DataFrame, *, min_repos: int = 3, shared_share: float = 0.5, min_lines: int = 20) -> DataFrame:
+def not_hand_written(files: DataFrame, *, min_repos: int = 3, shared_share: float = 0.5, min_lines: int = 20, package_repos: int = 2) -> DataFrame:
     """``file_id, kind`` (generated, minified, vendored, data) of the files that nobody of the project wrote.
 
     Of several rows of a file one verdict is enough (ties: the least kind); rows without ``file_id`` are ignored. A file without
     content is judged by its path alone, an empty one too. A file of at least ``min_lines`` lines is vendored, too, if more than
-    ``shared_share`` of them lie in rules that ``min_repos`` repositories have, in files of whatever verdict and length. What travels between tasks are rule hashes, never contents.
+    ``shared_share`` of them lie in rules that ``min_repos`` repositories have, in files of whatever verdict and length; and so is one whose
+    first comments name, with a version, a package that the paths of ``package_repos`` repositories name. What travels between tasks
+    are rule hashes and names, never contents.
     """
     features = file_features(files.where("file_id is not null")).withColumn("kind", grammar_kind())
-    kept = materialize(features.select("file_id", "repo", "kind", "lines", "rules", "rule_lines"), "file-features")
+    kept = materialize(features.select("file_id", "repo", "kind", "package", "cited", "lines", "rules", "rule_lines"), "file-features")
     held = kept.select("file_id", "repo", "kind", "lines", F.explode(F.arrays_zip("rules", "rule_lines")).alias("r")).select("file_id", "repo", "kind", "lines", F.col("r.rules").alias("rule"), F.col("r.rule_lines").alias("n"))
     # distinct (rule, repository) first, so that a rule that very many files have is counted from few rows
     common = held.select("rule", "repo").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("repos")).where(F.col("repos") >= min_repos).select("rule")
     owned = held.where((F.col("lines") >= min_lines) & F.col("kind").isNull()).select("file_id", "repo", "lines", "rule", "n")
     copies = owned.join(common, "rule").groupBy("file_id", "repo", "lines").agg(F.sum("n").alias("shared")).where(F.col("shared") > F.col("lines") * shared_share)
+    packages = kept.where("package is not null").select("package", "repo").distinct().groupBy("package").agg(F.count(F.lit(1)).alias("repos")).where(F.col("repos") >= package_repos).select("package")
+    # packages are few beside files: their names are broadcast while they are (counted), and the citing files aren't shuffled
+    taken = kept.where("kind is null").select("file_id", F.explode("cited").alias("package")).join(small(packages, 100_000), "package", "left_semi")
     return (
-        kept.where("kind is not null").select("file_id", "kind").unionByName(copies.select("file_id", F.lit("vendored").alias("kind")))
+        kept.where("kind is not null").select("file_id", "kind").unionByName(copies.unionByName(taken, allowMissingColumns=True).select("file_id", F.lit("vendored").alias("kind")))
         .groupBy("file_id").agg(F.min("kind").alias("kind"))
     )

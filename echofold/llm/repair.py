@@ -43,6 +43,9 @@ def repair(tokens: np.ndarray, sizes: np.ndarray, rounds: int = 14) -> Grammar:
         n = len(symbol)
         if n < 2:
             break
+        if names > 1 << 31:  # a pair of names must fit into 63 bits
+            kept, symbol = np.unique(symbol, return_inverse=True)
+            names = len(kept)
         inside = owner[1:] == owner[:-1]
         pair = symbol[:-1] * names + symbol[1:]
         _, at, times = np.unique(pair, return_inverse=True, return_counts=True)

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from echofold.llm.authorship import FEATURES, batch_features, incompressible, not_hand_written, note_kind, path_kind
+from echofold.llm import authorship
+from echofold.llm.authorship import FEATURES, batch_features, incompressible, not_hand_written, note_kind, package_of, path_kind
 from echofold.llm.repair import repair
 
 SCHEMA = "file_id long, repo string, path string, content string, kind string"
@@ -43,9 +44,11 @@ def test_paths(path, want):
 
 @pytest.mark.parametrize("text,want", [
     ("// Code generated by tool v1. DO NOT EDIT.\npackage x", "generated"), ("/*\n * @generated by z\n */\nx", "generated"), ("# This file was created automatically from a.idl; manual changes will be lost.\n", "generated"),
-    ("// Vendored from lib 1.2; see PATCHES.\n", "vendored"), ("/*! lib v5.9 | (c) the lib authors | ISC license */\n", "vendored"), ("// Copyright Y Ltd\n// more\npackage a\n// Verbatim copy of b. Upstream owns this code.\n", "vendored"),
+    ("// Vendored from lib 1.2; see PATCHES.\n", "vendored"), ("/*! lib v5.9 | (c) the lib authors | ISC license */\n", "vendored"), ("// Copyright Y Ltd\n// more\npackage a\n// Third-party code, see NOTICE.\n", "vendored"),
+    ("# Generated automatically by z\n", "generated"), ("// Autogenerated using z 1\n", "generated"), ("# Erzeugt mit z\n", "generated"), ("// Code généré par z\n", "generated"), ("-- This is a generated file.\n", "generated"), ("# Please do not modify this file!\n", "generated"),
+    ("// Any modifications will be discarded.\n", "generated"), ("# Never change the order of these\n", None), ("// edits of the user are lost-proof\n", None), ("# Handwritten; the generated code is elsewhere\n", None),
     ("// Helpers for the auto-generated client; written by hand.\n", None), ("// DO NOT EDIT while a job is running\n", None), ("# The rows are generated by the nightly job.\n", None),
-    ("var B = \"Code generated by x\";\n", None), ("// Inspired by lib 5.4; this version is ours.\n", None), ("a\nb\nc\nd\ne\n// Code generated by x\n", None), ("", None),
+    ("var B = \"Code generated by x\";\n", None), ("// Inspired by lib 5.4; this version is ours.\n", None), ("// The file system was written with care\n", None), ("a\nb\nc\nd\ne\n// Code generated by x\n", None), ("", None),
 ])
 def test_notes(text, want):
     assert note_kind(text) == want
@@ -103,7 +106,7 @@ def test_blobs_over_many_lines():
 
 @pytest.mark.parametrize("text,want", [
     ("/*\n   Copyright Y\n   a\n   b\n   c\n   d\n   This file was generated by z\n*/\nx", "generated"), ("<!--\n  a\n  This file was generated by z\n-->\n<x/>", "generated"),
-    ('"""\na\nb\nc\nd\ne\nVerbatim copy of b.\n"""\nx', "vendored"), ("/* a */\na\nb\nc\nd\ne\nThis file was generated by z\n", None), ("/* open\na\nb\nc\nd\ne\nf\nThis file was generated by z\n", None),
+    ('"""\na\nb\nc\nd\ne\nVendored copy of b.\n"""\nx', "vendored"), ("/* a */\na\nb\nc\nd\ne\nThis file was generated by z\n", None), ("/* open\na\nb\nc\nd\ne\nf\nThis file was generated by z\n", None),
 ])
 def test_notes_inside_blocks(text, want):
     assert note_kind(text) == want
@@ -121,3 +124,33 @@ def test_grammar_is_finished():
         assert g.span[g.owner == i].sum() == len(s)
         alone = repair(s.astype(np.int64), np.array([len(s)]))
         assert alone.span.tolist() == g.span[g.owner == i].tolist() and alone.rules[0] == g.rules[i]
+
+
+def test_packages_come_from_paths(spark):
+    """A package is known by two repositories' paths; files that cite it with a version are copies, those that speak of it aren't."""
+    rows = [(1, "r1", "node_modules/quux-lib/a.js", hand(1), "k"), (2, "r2", "deps/quux-lib-1.2.3/b.js", hand(2), "k"), (3, "r3", "vendor/lonely/c.js", hand(3), "k")]
+    heads = ["# Copied over from quux-lib/2.0.", "# quux-lib rev 77, unchanged", "# Kopie von quux-lib, version 4", "# Inspired by quux-lib 2.0", "# quux-lib is slow here", "# Needs quux-lib 2.1 or later", "# lonely 1.2.0", "# other-lib 3.1"]
+    rows += [(10 + i, "r4", f"src/f{i}.py", h + "\n" + hand(20 + i), "k") for i, h in enumerate(heads)]
+    got = {r.file_id for r in not_hand_written(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1, 2, 3, 10, 11, 12}
+    assert package_of("a/vendor/@scope/pkg/x.js") == "@scope/pkg" and package_of("src/vendor_portal/a.py") is None and package_of(None) is None
+
+
+def test_batches_by_size(spark, monkeypatch):
+    """However files are put together, a file's features are its own."""
+    import pyarrow as pa
+
+    sizes = [3, 5, 0, None, 12, 1, 1, 20, 2]
+    contents = pa.array([None if n is None else "x" * n for n in sizes])
+    monkeypatch.setattr(authorship, "BATCH_CHARS", 10)
+    parts = list(authorship._slices(contents))
+    assert [i for first, n in parts for i in range(first, first + n)] == list(range(len(sizes)))
+    assert all(n == 1 or sum(s or 0 for s in sizes[first : first + n]) <= 10 for first, n in parts)
+    texts = [hand(i, 8) for i in range(5)] + [None, "", "a b a b a b a b"]
+    assert [r for t in texts for r in batch_features(["p"], [t])[0]] == batch_features(["p"] * len(texts), texts)[0]
+
+
+def test_symbols_are_renumbered(monkeypatch):
+    tokens = np.array([5, 6, 5, 6, 7, 5, 6, 7] * 20, dtype=np.int64)
+    shifted = repair(tokens + (1 << 32), np.array([len(tokens)]))
+    assert shifted.span.tolist() == repair(tokens, np.array([len(tokens)])).span.tolist()
