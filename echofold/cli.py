@@ -67,34 +67,32 @@ def run_scan(args: argparse.Namespace) -> int:
     files = source_files(session(), args.path, default_excludes=config.default_excludes, excludes=config.excludes)
     scan = Scan(files, config, shapes=args.include_classes)
     root = os.path.basename(os.path.abspath(args.path))
-    doc = R.report(scan, root, most=None if args.all or args.json or args.explain else K.TOP_CLUSTERS, containment=args.containment)
-    if args.explain:
-        if not 1 <= args.explain <= len(doc["clusters"]):
-            print(f"there is no cluster {args.explain}; the scan found {len(doc['clusters'])}", file=sys.stderr)
+    if args.explain is not None:
+        rows = list(R.ranked_documents(scan.members, scan.clusters, only=args.explain)) if args.explain > 0 else []
+        if not rows:
+            print(f"no cluster {args.explain}: the clusters are numbered from 1 to {scan.clusters.count()}", file=sys.stderr)
             return 2
 
         def read(name: str) -> str:
             with open(os.path.join(args.path, name), encoding="utf-8", errors="replace") as f:
                 return f.read()
 
-        print(R.explain(doc["clusters"][args.explain - 1], read, full=args.full, columns=shutil.get_terminal_size().columns), end="")
+        for line in R.explain((d for _, member, d in rows if member), read, full=args.full, columns=shutil.get_terminal_size().columns):
+            print(line)
     elif args.json:
-        print(R.to_json(doc))
+        R.stream_json(scan, root, sys.stdout.write, containment=args.containment)
     else:
-        print(R.render(doc, args.all), end="")
-        if args.include_classes:
-            print(R.render_shapes(doc.get("class_shapes", [])), end="")
-        if args.containment:
-            print(R.render_containment(doc.get("containment", [])), end="")
+        for line in R.text_report(scan, root, show_all=args.all, containment=args.containment):
+            print(line)
     if args.card:
-        _write("echofold-card.svg", R.score_card(doc))
+        _write("echofold-card.svg", R.score_card(R.summary(scan, root)))
     return 0
 
 
 def _write(name: str, text: str) -> None:
     with open(name, "w", encoding="utf-8") as f:
         f.write(text)
-    print(f"  card written → {name}", file=sys.stderr)
+    print(f"wrote {name}", file=sys.stderr)
 
 
 def run_check(args: argparse.Namespace) -> int:
@@ -104,19 +102,19 @@ def run_check(args: argparse.Namespace) -> int:
 
     outcome = check(session(), args.path, config_of(args), args.diff)
     if not outcome.had_changes:
-        print("echofold check: no changes to check")
+        print("Nothing has changed.")
         return 0
     found = [r.asDict() for r in outcome.findings.collect()]
     if args.json:
         print(json.dumps({"schema_version": K.JSON_SCHEMA, "findings": [{k: v for k, v in f.items() if k != "suggestion" or v} for f in found]}, indent=2, ensure_ascii=False))
     elif not found:
-        print("echofold check: no new duplicates ✓")
+        print("Nothing that has changed repeats other code.")
     else:
         for f in found:
-            print(f"{f['file']}:{f['line']} {f['name']}() is a {f['similarity'] * 100:.0f}% duplicate of {f['original_file']}:{f['original_line']} {f['original_name']}() — reuse it")
+            print(f"{f['file']}:{f['line']}: {f['name']} repeats {f['original_name']} ({f['original_file']}:{f['original_line']}) at {f['similarity']:.0%}")
             if f["suggestion"]:
-                print(f"      {f['suggestion']}")
-        print(f"\nechofold check: {len(found)} new duplicate{'' if len(found) == 1 else 's'} of existing code", file=sys.stderr)
+                print(f"    use: {f['suggestion']}")
+        print(f"{len(found)} changed functions repeat other code.", file=sys.stderr)
     return 1 if found else 0
 
 
@@ -127,9 +125,9 @@ def run_history(args: argparse.Namespace) -> int:
 
     doc = history(session(), args.path, config_of(args), args.max_snapshots)
     if doc is None:
-        print("echofold history: not enough history to chart", file=sys.stderr)
+        print("a history needs two snapshots", file=sys.stderr)
         return 2
-    print(json.dumps(doc, indent=2, ensure_ascii=False) if args.json else R.render_history(doc), end="\n" if args.json else "")
+    print(json.dumps(doc, indent=2, ensure_ascii=False) if args.json else "\n".join(R.history_lines(doc)))
     if not args.no_card:
         _write("echofold-card.svg", R.history_card(doc))
     return 0

@@ -1,4 +1,8 @@
-"""Reports: JSON (as rows, and as one document), text, chart and card. What is formatted here has been ranked and cut by Spark."""
+"""Reports of scans and histories: JSON, plain text, SVG.
+
+Spark ranks, numbers and cuts; what comes here is written out row by row as it arrives (``toLocalIterator`` holds a partition), so that a
+report is as long as it is and the driver's memory isn't. ``cluster_json`` is the same as a table, for ``write.text``.
+"""
 
 from __future__ import annotations
 
@@ -6,189 +10,273 @@ import difflib
 import html
 import itertools
 import json
-import math
+import re
 import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__
 from .. import constants as K
-from ..operators.clusters import cluster_order, global_numbers, with_rank
+from ..operators.clusters import cluster_order, cluster_rows, global_numbers, with_rank
 from .scan import Scan
 
-NAME = "echofold"
 
+# ---- clusters as documents -----------------------------------------------------------------------------------------------
+
+def numbered_clusters(clusters: DataFrame) -> DataFrame:
+    """Adds ``id``: 1, 2, ... in the total order of clusters."""
+    key = F.struct((-F.col("deletable_lines")).alias("a"), "rep_file", "rep_line", "cluster")
+    return global_numbers(clusters.withColumn("_key", key), "_key", "id").drop("_key")
 
-# ---- JSON --------------------------------------------------------------------------------------------------------------
 
 def cluster_json(members: DataFrame, clusters: DataFrame) -> DataFrame:
     """``id, member, json``, ready for ``write.text``: a document for each cluster (member 0; ids in order of rank), and one for each
     member, numbered from 1. Members are documents of their own, since a cluster may hold any number of them."""
-    key = F.struct((-F.col("deletable_lines")).alias("a"), "rep_file", "rep_line", "cluster")
-    numbered = global_numbers(clusters.withColumn("_key", key), "_key", "id")
+    return _documents(members, numbered_clusters(clusters))
+
+
+def _documents(members: DataFrame, numbered: DataFrame) -> DataFrame:
     head = F.struct("id", "copies", "similarity", "deletable_lines", "test_only", F.when(F.col("trait_impl_only"), F.lit(True)).alias("trait_impl_only"))
     one = F.struct("file", "name", "start_line", "end_line", F.col("sig_lines").alias("lines"), "similarity", "representative", F.coalesce("is_test", F.lit(False)).alias("test"))
     rows = with_rank(members).join(numbered.select("cluster", "id"), "cluster")
     return numbered.select("id", F.lit(0).cast("long").alias("member"), F.to_json(head).alias("json")).unionByName(rows.select("id", F.col("rank").alias("member"), F.to_json(one).alias("json")))
 
 
-def report(scan: Scan, root: str, *, most: int | None = None, containment: bool = False) -> dict:
-    """The whole report as one document; ``most`` cuts the clusters (in Spark) to the first in rank."""
-    total = scan.clusters.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("deletable_lines"), F.lit(0)).alias("lines")).first()
-    out = {"schema_version": K.JSON_SCHEMA, "root": root, "stats": scan.stats, "score": scan.score, "clusters": _clusters(scan.members, scan.clusters, most)}
-    if scan.shapes:
-        from ..operators.clusters import cluster_rows
+def ranked_documents(members: DataFrame, clusters: DataFrame, *, most: int | None = None, only: int | None = None) -> Iterator[tuple[int, int, dict]]:
+    """``(id, member, document)`` in order of rank: of all clusters, of the first ``most``, or of the one of rank ``only``."""
+    if most is not None:
+        clusters = clusters.orderBy(*cluster_order()).limit(most)
+    numbered = numbered_clusters(clusters)
+    if only is not None:
+        numbered = numbered.where(F.col("id") == only)
+    kept = members if most is None and only is None else members.join(numbered.select("cluster"), "cluster", "left_semi")
+    for r in _documents(kept, numbered).orderBy("id", "member").toLocalIterator():
+        yield r.id, r.member, json.loads(r.json)
 
-        found = _clusters(scan.shape_members, cluster_rows(scan.shape_members), None)
-        if found:
-            out["class_shapes"] = found
-    if containment:
-        found = [json.loads(r) for r in scan.containment.toJSON().collect()]
-        if found:
-            out["containment"] = found
-    out["_hidden"] = {"clusters": total.n - len(out["clusters"]), "lines": total.lines - sum(c["deletable_lines"] for c in out["clusters"]), "all": total.n}
-    return out
-
-
-def _clusters(members: DataFrame, clusters: DataFrame, most: int | None) -> list[dict]:
-    """The first ``most`` clusters with their members, put together on the driver."""
-    kept = clusters.orderBy(*cluster_order()).limit(most) if most is not None else clusters
-    out: dict[int, dict] = {}
-    for r in cluster_json(members.join(kept.select("cluster"), "cluster", "left_semi"), kept).orderBy("id", "member").toLocalIterator():
-        if r.member:
-            out[r.id]["members"].append(json.loads(r.json))
-        else:
-            out[r.id] = json.loads(r.json) | {"members": []}
-    return list(out.values())
 
+def whole_clusters(rows: Iterable[tuple[int, int, dict]]) -> Iterator[dict]:
+    """The documents of ``ranked_documents`` put together, one cluster in memory at a time."""
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        (_, _, head), *rest = group
+        yield head | {"members": [m for _, _, m in rest]}
 
-def to_json(document: dict) -> str:
-    return json.dumps({k: v for k, v in document.items() if not k.startswith("_")}, indent=2, ensure_ascii=False)
 
+# ---- JSON ----------------------------------------------------------------------------------------------------------------
 
-# ---- text --------------------------------------------------------------------------------------------------------------
+def summary(scan: Scan, root: str) -> dict:
+    """What precedes the clusters. Counted last of all, so that the time in it is that of the whole scan."""
+    score = scan.score
+    return {"schema_version": K.JSON_SCHEMA, "root": root, "stats": scan.stats | {"elapsed_ms": scan.elapsed_ms()}, "score": score}
 
-def digits(n: int) -> str:
-    return f"{n:,}"
+
+def _sections(scan: Scan, containment: bool, most: int | None = None) -> Iterator[tuple[str, Iterator[dict]]]:
+    yield "clusters", whole_clusters(ranked_documents(scan.members, scan.clusters, most=most))
+    if scan.shapes:
+        yield "class_shapes", whole_clusters(ranked_documents(scan.shape_members, cluster_rows(scan.shape_members)))
+    if containment:
+        yield "containment", map(json.loads, scan.containment.toJSON().toLocalIterator())
 
 
-def duration(ms: int) -> str:
-    return f"{ms}ms" if ms < 1000 else f"{ms / 1000:.1f}s"
+def report(scan: Scan, root: str, *, most: int | None = None, containment: bool = False) -> dict:
+    """The report as one document, for callers that ask for one; ``most`` cuts the clusters (in Spark) to the first in rank."""
+    found = {k: list(v) for k, v in _sections(scan, containment, most)}
+    return summary(scan, root) | {k: v for k, v in found.items() if v or k == "clusters"}
 
 
-def cut(s: str, most: int) -> str:
-    return s if len(s) <= most else s[: max(0, most - 1)] + "…"
+def stream_json(scan: Scan, root: str, write: Callable[[str], object], *, containment: bool = False) -> None:
+    """The whole report as one JSON document, written piece by piece."""
+    pad = lambda text, by: text.replace("\n", "\n" + " " * by)
+    scan.score  # noqa: B018 - clusters are made before time is read
+    head = json.dumps(summary(scan, root), indent=2, ensure_ascii=False)
+    write(head[: head.rindex("\n")])
+    for name, documents in _sections(scan, containment):
+        first = next(documents, None)
+        if first is None and name != "clusters":
+            continue
+        write(f',\n  "{name}": [')
+        for i, d in enumerate(itertools.chain([first] if first else [], documents)):
+            write(("," if i else "") + "\n    " + pad(json.dumps(d, indent=2, ensure_ascii=False), 4))
+        write("\n  ]" if first else "]")
+    write("\n}\n")
 
 
-def cut_left(s: str, most: int) -> str:
-    return s if len(s) <= most else "…" + s[len(s) - most + 1 :]
+# ---- text ----------------------------------------------------------------------------------------------------------------
 
+def shortened(text: str, most: int, *, end: bool = True) -> str:
+    """At most so many characters, the last ones (or the first) given up for a sign of it."""
+    if len(text) <= most:
+        return text
+    kept = most - 1
+    return text[:kept] + "…" if end else "…" + text[len(text) - kept :]
 
-def bar(similarity: float) -> str:
-    eighths = math.floor(min(1.0, max(0.0, similarity)) * 72 + 0.5)
-    return "█" * (eighths // 8) + (K.BAR_EIGHTHS[eighths % 8] if eighths < 72 else "")
 
+def gauge(share: float, cells: int = 9) -> str:
+    """A bar of eighths of cells."""
+    full, rest = divmod(int(min(1.0, max(0.0, share)) * cells * 8 + 0.5), 8)
+    return "█" * full + K.BAR_EIGHTHS[rest]
 
-def render(doc: dict, show_all: bool = False) -> str:
-    """The ranked report as plain text."""
-    s, sc = doc["stats"], doc["score"]
-    lines = ["", f"  {NAME} v{__version__} — scanned {digits(s['files'])} files · {digits(s['total_lines'])} lines · {digits(s['functions'])} functions in {duration(s['elapsed_ms'])}", ""]
-    first = f"SLOP SCORE   {sc['slop_percent']:.1f}%   grade {sc['grade']}"
-    second = f"{digits(sc['deletable_lines'])} of {digits(s['significant_lines'])} significant lines are deletable duplicates"
-    inner = max(len(first), len(second)) + 4
-    lines += [f"  ╭{'─' * inner}╮", f"  │  {first.ljust(inner - 2)}│", f"  │  {second.ljust(inner - 2)}│", f"  ╰{'─' * inner}╯", ""]
-    hidden = doc.get("_hidden", {"clusters": 0, "lines": 0, "all": len(doc["clusters"])})
-    shown = doc["clusters"] if show_all else doc["clusters"][: K.TOP_CLUSTERS]
-    more = hidden["clusters"] + len(doc["clusters"]) - len(shown)
-    more_lines = hidden["lines"] + sum(c["deletable_lines"] for c in doc["clusters"][len(shown) :])
-    if not shown:
-        lines += ["  No duplicate clusters found.", ""]
-    else:
-        lines += [f"  {hidden['all']} duplicate cluster{'' if hidden['all'] == 1 else 's'} · showing top {len(shown)} by deletable lines{'  (--all for everything)' if more else ''}", ""]
-        for c in shown:
-            lines += _cluster(c)
-        if more:
-            lines += [f"  … {more} more clusters ({digits(more_lines)} deletable lines) — run with --all", ""]
-    skipped = [f"{s['skipped_' + k.replace('-', '_')]} {k}" for k in ("generated", "minified", "non-utf8") if s["skipped_" + k.replace("-", "_")]]
-    lines += [f"  skipped files: {' · '.join(skipped)}"] if skipped else []
-    lines.append("  slop score = lines deletable if every duplicate cluster kept one copy")
-    if shown:
-        lines.append(f"  ★ = representative (kept) · {NAME} scan --explain 1 shows the code")
-    return "\n".join(lines) + "\n"
 
+def _took(ms: int) -> str:
+    return f"{ms} ms" if ms < 1000 else f"{ms / 1000:.1f} s"
 
-def _cluster(c: dict) -> list[str]:
-    tag = " · [tests, not scored]" if c["test_only"] else " · [trait impls, not scored]" if c.get("trait_impl_only") else ""
-    title = f"● Cluster {c['id']} ─ {c['copies']} copies · {c['similarity'] * 100:.0f}% similar · {digits(c['deletable_lines'])} deletable lines{tag}"
-    out = [f"  {title} {'─' * max(0, 75 - len(title))}"]
-    width = min(58, max(len(f"{m['file']}:{m['start_line']}") for m in c["members"]))
-    names = min(28, max(len(m["name"]) for m in c["members"]))
-    for m in c["members"]:
-        place = cut_left(f"{m['file']}:{m['start_line']}", width).ljust(width)
-        row = f"{place}  {cut(m['name'], names).ljust(names)}  {str(m['lines']) + ' lines':>9}"
-        out.append(f"    ★ {row}" if m["representative"] else f"      {row}   {m['similarity'] * 100:>3.0f}% {bar(m['similarity'])}")
-    return [*out, ""]
 
+def head_lines(head: dict) -> Iterator[str]:
+    s, sc = head["stats"], head["score"]
+    yield f"echofold {__version__} on {head['root']}"
+    yield f"  score      {sc['slop_percent']:.1f} % of the code repeats other code: grade {sc['grade']}"
+    yield f"  to delete  {sc['deletable_lines']:,} of {s['significant_lines']:,} significant lines, if one copy of each cluster stays"
+    yield f"  read       {s['files']:,} files, {s['total_lines']:,} lines, {s['functions']:,} functions, {_took(s['elapsed_ms'])}"
+    left = [f"{s[k]:,} {k.removeprefix('skipped_').replace('_', '-')}" for k in ("skipped_generated", "skipped_minified", "skipped_non_utf8") if s[k]]
+    if left:
+        yield "  left out   " + ", ".join(left)
 
-def render_shapes(found: list[dict]) -> str:
-    out = ["", "  CLASS SHAPES  (experimental · --include-classes)", "  types whose property/method signatures are near-duplicates", ""]
-    for c in found:
-        out.append(f"  ● Shape {c['id']} ─ {c['copies']} classes · {c['similarity'] * 100:.0f}% shared signatures")
-        width = min(58, max(len(f"{m['file']}:{m['start_line']}") for m in c["members"]))
-        for m in c["members"]:
-            row = f"{cut_left(m['file'] + ':' + str(m['start_line']), width).ljust(width)}  {m['name']}  {str(m['lines']) + ' members':>11}"
-            out.append(f"    ★ {row}" if m["representative"] else f"      {row}   {m['similarity'] * 100:>3.0f}% shared")
-        out.append("")
-    return "\n".join(out if found else [*out, "  No near-duplicate class shapes found.", ""]) + "\n"
 
+def _notes(c: dict) -> str:
+    return "; all in tests, not counted" if c["test_only"] else "; all of traits, not counted" if c.get("trait_impl_only") else ""
 
-def render_containment(found: list[dict]) -> str:
-    out = ["", "  CONTAINMENT  (experimental · --containment)", "  small functions copied into a larger one, which the score misses", ""]
-    place = lambda side: f"{side['file']}:{side['start_line']}"
-    width = min(58, max((len(place(c[k])) for c in found for k in ("contained", "container")), default=0))
-    for c in found:
-        small, large = c["contained"], c["container"]
-        out += [f"  ● {small['name']} ({small['lines']} lines) is {c['containment'] * 100:.0f}% inside a larger function", f"    ↳ {cut_left(place(small), width).ljust(width)}  copied fragment",
-                f"      {cut_left(place(large), width).ljust(width)}  {large['name']}  {large['lines']} lines", ""]
-    return "\n".join(out if found else [*out, "  No contained functions found.", ""]) + "\n"
 
+def cluster_lines(rows: Iterable[tuple[int, int, dict]], unit: str = "lines") -> Iterator[str]:
+    """A heading for a cluster, a row for a member: what it is (kept, or how similar to what is kept), place, name, size."""
+    for id, member, d in rows:
+        if not member:
+            yield ""
+            yield f"[{id}] {d['copies']} alike at {d['similarity']:.0%}" + (f", {d['deletable_lines']:,} lines to delete{_notes(d)}" if unit == "lines" else "")
+        else:
+            sign = "keep".ljust(14) if d["representative"] else f"{d['similarity']:>4.0%} {gauge(d['similarity']):<9}"
+            yield f"    {sign}  {shortened(d['file'], 60, end=False)}:{d['start_line']}  {shortened(d['name'], 40)}  ({d['lines']} {unit})"
 
-def explain(cluster: dict, read, *, full: bool = False, columns: int = 80) -> str:
-    """The copies of a cluster against its representative: unified, from 120 columns on side by side, or whole bodies.
 
-    ``read(file)`` gives a file's text."""
+def text_report(scan: Scan, root: str, *, show_all: bool = False, containment: bool = False) -> Iterator[str]:
+    """The report's lines: the first clusters, or all of them, and what is left unsaid."""
+    most = None if show_all else K.TOP_CLUSTERS
+    head = summary(scan, root)
+    total = scan.clusters.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("deletable_lines"), F.lit(0)).alias("lines")).first()
+    yield from head_lines(head)
+    shown = lines = 0
+    def counted():
+        nonlocal shown, lines
+        for id, member, d in ranked_documents(scan.members, scan.clusters, most=most):
+            if not member:
+                shown, lines = shown + 1, lines + d["deletable_lines"]
+            yield id, member, d
+    yield from cluster_lines(counted())
+    yield ""
+    if not total.n:
+        yield "Nothing is repeated."
+    elif total.n > shown:
+        yield f"{total.n - shown:,} more of {total.n:,} clusters, with {total.lines - lines:,} lines to delete: --all lists them, --explain N compares the copies of one."
+    if scan.shapes:
+        yield from ("", "Types with like members (an experiment, not part of the score)")
+        found = False
+        for line in cluster_lines(ranked_documents(scan.shape_members, cluster_rows(scan.shape_members)), "members"):
+            found = True
+            yield line
+        if not found:
+            yield "    none"
+    if containment:
+        yield from ("", "Functions copied into larger ones (an experiment, not part of the score)")
+        none = True
+        for r in scan.containment.toLocalIterator():
+            none = False
+            yield f"    {r.containment:>4.0%} of {_place(r.contained)} stands in {_place(r.container)}"
+        if none:
+            yield "    none"
+
+
+def _place(side) -> str:
+    return f"{side['name']} ({shortened(side['file'], 60, end=False)}:{side['start_line']}, {side['lines']} lines)"
+
+
+# ---- copies side by side ---------------------------------------------------------------------------------------------------
+
+_PIECE = re.compile(r"\w+|\s+|.")
+
+
+def marked(old: str, new: str) -> tuple[str, str]:
+    """Two lines with what differs between them in ``⟦⟧``."""
+    a, b = _PIECE.findall(old), _PIECE.findall(new)
+    left, right = [], []
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        for pieces, out in ((a[i:j], left), (b[k:m], right)):
+            text = "".join(pieces)
+            out.append(text if op == "equal" or not text else f"⟦{text}⟧")
+    return "".join(left), "".join(right)
+
+
+def aligned(a: list[str], b: list[str], context: int = 3) -> Iterator[tuple[int | None, str, int | None, str, bool] | int]:
+    """Pairs of lines as ``(number, left, number, right, equal)``, sides without a partner being empty; a bare number stands for so many
+    equal lines that are further than ``context`` from any difference."""
+    codes = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    for n, (op, i, j, k, m) in enumerate(codes):
+        if op == "equal":
+            before, after = context * (n > 0), context * (n + 1 < len(codes))
+            hidden = j - i - before - after
+            for d in range(j - i):
+                if hidden > 0 and d == before:
+                    yield hidden
+                if hidden <= 0 or d < before or d >= before + hidden:
+                    yield i + d + 1, a[i + d], k + d + 1, b[k + d], True
+            continue
+        for x, y in itertools.zip_longest(range(i, j), range(k, m)):
+            left, right = a[x] if x is not None else "", b[y] if y is not None else ""
+            if x is not None and y is not None:
+                left, right = marked(left, right)
+            yield (x + 1 if x is not None else None), left, (y + 1 if y is not None else None), right, False
+
+
+def explain(members: Iterable[dict], read: Callable[[str], str], *, full: bool = False, columns: int = 80) -> Iterator[str]:
+    """The copies of a cluster (the kept one first) compared with the kept one: in one column with signs, from 120 columns on in two; with
+    ``full`` the bodies themselves. ``read(file)`` gives a file's text."""
     body = lambda m: read(m["file"]).expandtabs(4).splitlines()[m["start_line"] - 1 : m["end_line"]]
-    rep, *others = cluster["members"]
-    out = [f"★ {rep['file']}:{rep['start_line']} {rep['name']}", *([*body(rep), ""] if full or not others else [])]
-    for m in others:
-        out.append(f"── {m['file']}:{m['start_line']} {m['name']} · {m['similarity'] * 100:.0f}% similar")
-        if full:
-            out += [*body(m), ""]
-        elif columns >= 120:
-            out += side_by_side(body(rep), body(m), columns)
+    title = lambda m: f"{m['name']}  {m['file']}:{m['start_line']}-{m['end_line']}"
+    kept: list[str] = []
+    for n, m in enumerate(members):
+        text = body(m)
+        if not n:
+            kept, first = text, m
+            yield "kept: " + title(m)
+        else:
+            yield f"{m['similarity']:.0%} alike: " + title(m)
+        if full or not n:
+            yield from (f"{m['start_line'] + i:>6}  {x}" for i, x in enumerate(text))
         else:
-            out += [x for x in difflib.unified_diff(body(rep), body(m), lineterm="", n=3) if not x.startswith(("---", "+++"))]
-    return "\n".join(out) + "\n"
+            yield from (two_columns if columns >= 120 else one_column)(aligned(kept, text), first["start_line"] - 1, m["start_line"] - 1, columns)
+        yield ""
+
+
+def one_column(rows, a: int, b: int, columns: int) -> Iterator[str]:
+    number = lambda n, by: f"{n + by:>5}" if n else " " * 5
+    for r in rows:
+        if isinstance(r, int):
+            yield f"{'':13}({r} equal lines)"
+            continue
+        i, left, j, right, equal = r
+        if equal:
+            yield f"{number(i, a)} {number(j, b)}  {left}"
+        else:
+            if i:
+                yield f"{number(i, a)} {number(None, 0)} -{left}"
+            if j:
+                yield f"{number(None, 0)} {number(j, b)} +{right}"
 
 
-def side_by_side(a: list[str], b: list[str], columns: int, context: int = 3) -> list[str]:
-    half = (columns - 3) // 2
-    rows: list[str] = []
-    for group in difflib.SequenceMatcher(None, a, b, autojunk=False).get_grouped_opcodes(context):
-        rows.append("…".center(columns).rstrip()) if rows else None
-        for op, i1, i2, j1, j2 in group:
-            for k in range(max(i2 - i1, j2 - j1)):
-                left = wrap(a[i1 + k], half) if i1 + k < i2 else [""]
-                right = wrap(b[j1 + k], half) if j1 + k < j2 else [""]
-                for x, y in itertools.zip_longest(left, right, fillvalue=""):
-                    rows.append(f"{x}{' ' * (half - display_width(x))} {' ' if op == 'equal' else '│'} {y}".rstrip())
-    return rows
+def two_columns(rows, a: int, b: int, columns: int) -> Iterator[str]:
+    half = (columns - 15) // 2
+    for r in rows:
+        if isinstance(r, int):
+            yield f"({r} equal lines)".center(columns).rstrip()
+            continue
+        i, left, j, right, equal = r
+        for n, (x, y) in enumerate(itertools.zip_longest(wrap(left, half), wrap(right, half), fillvalue="")):
+            numbers = [f"{v + by:>5}" if v and not n else " " * 5 for v, by in ((i, a), (j, b))]
+            yield f"{numbers[0]} {x}{' ' * (half - display_width(x))} {' ' if equal else '≠'} {numbers[1]} {y}".rstrip()
 
 
 def display_width(text: str) -> int:
     """Columns a terminal needs: two for wide characters, none for those that combine with another."""
-    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+    return sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
 
 
 def wrap(line: str, columns: int) -> list[str]:
@@ -204,68 +292,63 @@ def wrap(line: str, columns: int) -> list[str]:
     return pieces
 
 
-# ---- chart and card ----------------------------------------------------------------------------------------------------
+# ---- history -------------------------------------------------------------------------------------------------------------
 
-def headline(h: dict) -> str:
-    now = h["series"][-1]["slop_percent"]
-    if h["growth_factor"] is not None:
-        return f"duplication grew {h['growth_factor']:.1f}× since {h['growth_since']}"
-    return f"duplication went from ~0 to {now:.1f}% since {h['growth_since']}" if h["growth_since"] else "no significant duplication growth detected"
+def growth(h: dict) -> str:
+    """What the series says in a sentence."""
+    now, since = h["series"][-1]["slop_percent"], h["growth_since"]
+    if not since:
+        return "No growth to speak of."
+    return f"Since {since} it has grown {h['growth_factor']:.1f} times." if h["growth_factor"] is not None else f"Since {since} it has gone from nothing to {now:.1f} %."
 
 
-def render_history(h: dict, height: int = 7) -> str:
-    """Bars of eighth blocks, two columns a snapshot, and the headline."""
+def history_lines(h: dict, cells: int = 40) -> Iterator[str]:
+    """A row a snapshot, the bars in eighths of cells, measured by the highest."""
     points = h["series"]
-    top = max(0.1, *(p["slop_percent"] for p in points))
-    filled = [math.floor(p["slop_percent"] / top * height * 8 + 0.5) for p in points]
-    out = ["", f"  {NAME} history — {h['repo']} · {len(points)} snapshots · {points[0]['date']} → {points[-1]['date']}", ""]
-    for row in reversed(range(height)):
-        label = f"{top:>5.1f}% " if row == height - 1 else f"{0.0:>5.1f}% " if row == 0 else " " * 7
-        out.append(f"  {label}┤" + "".join(K.COLUMN_EIGHTHS[min(8, max(0, f - row * 8))] * 2 for f in filled))
-    out += [f"         └{'─' * (2 * len(points))}", f"          {points[0]['date']}{points[-1]['date']:>{max(0, 2 * len(points) - 7)}}", "",
-            f"  current slop score: {points[-1]['slop_percent']:.1f}% (grade {h['current_grade']})", f"  {headline(h)}", ""]
-    return "\n".join(out) + "\n"
-
+    top = max(p["slop_percent"] for p in points) or 1.0
+    yield f"echofold {__version__}: repeated code of {h['repo']} in {len(points)} snapshots"
+    for p in points:
+        mark = "<" if p["date"] == h["growth_since"] else ""
+        yield f"  {p['date']}  {p['commit'][:10]}  {p['slop_percent']:>5.1f} %  {gauge(p['slop_percent'] / top, cells)}{mark}"
+    yield f"Now {points[-1]['slop_percent']:.1f} %, grade {h['current_grade']}. {growth(h)}"
 
-_COLOURS = {"A": "#3fb950", "B": "#3fb950", "C": "#d29922", "D": "#f85149", "F": "#f85149"}
-_DARK, _LINE, _TEXT, _DIM = "#0d1117", "#30363d", "#e6edf3", "#8b949e"
 
+# ---- cards ---------------------------------------------------------------------------------------------------------------
 
-def _svg(parts: list[str]) -> str:
-    return "\n".join(['<svg xmlns="http://www.w3.org/2000/svg" width="1200" height="630" viewBox="0 0 1200 630">', f'<rect width="1200" height="630" fill="{_DARK}"/>', *parts, "</svg>"]) + "\n"
+# Size of a card for link previews; inks by grade.
+_WIDTH, _HEIGHT = 1200, 630
+_INK = {"A": "#1a7f37", "B": "#4c8c2b", "C": "#9a6700", "D": "#bc4c00", "F": "#cf222e"}
 
 
-def _label(x: int, y: int, size: int, fill: str, text: str, anchor: str = "start", weight: str = "normal") -> str:
-    return f'<text x="{x}" y="{y}" font-family="monospace" font-size="{size}" font-weight="{weight}" fill="{fill}" text-anchor="{anchor}">{html.escape(text)}</text>'
+def _svg(*parts: str) -> str:
+    style = "text{font-family:sans-serif;fill:#24292f}.small{font-size:26px}.big{font-size:46px;font-weight:600}"
+    return "\n".join([f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {_WIDTH} {_HEIGHT}" width="{_WIDTH}" height="{_HEIGHT}">', f"<style>{style}</style>", f'<rect width="{_WIDTH}" height="{_HEIGHT}" fill="#fff"/>', *parts, "</svg>", ""])
 
 
-def score_card(doc: dict) -> str:
-    sc = doc["score"]
-    colour = _COLOURS[sc["grade"]]
-    return _svg([_label(60, 96, 34, _TEXT, doc["root"], weight="bold"), _label(60, 146, 24, _DIM, "SLOP SCORE"), _label(54, 340, 170, colour, f"{sc['slop_percent']:.1f}%", weight="bold"), _label(60, 430, 32, colour, f"grade {sc['grade']}"),
-                 _label(60, 500, 24, _DIM, f"{digits(sc['deletable_lines'])} of {digits(doc['stats']['significant_lines'])} significant lines are deletable duplicates")])
+def _text(x: float, y: float, text: str, kind: str = "small", **more: str) -> str:
+    extra = "".join(f' {k}="{v}"' for k, v in more.items())
+    return f'<text class="{kind}" x="{x:g}" y="{y:g}"{extra}>{html.escape(text)}</text>'
 
 
-def spline(points: list[tuple[float, float]]) -> str:
-    """A Catmull-Rom spline through the points as cubic curves: control points a sixth of the neighbours' distance away."""
-    padded = [points[0], *points, points[-1]]
-    path = [f"M {points[0][0]:.1f} {points[0][1]:.1f}"]
-    for before, a, b, after in zip(padded, padded[1:], padded[2:], padded[3:], strict=False):
-        one = (a[0] + (b[0] - before[0]) / 6, a[1] + (b[1] - before[1]) / 6)
-        two = (b[0] - (after[0] - a[0]) / 6, b[1] - (after[1] - a[1]) / 6)
-        path.append("C " + ", ".join(f"{x:.1f} {y:.1f}" for x, y in (one, two, b)))
-    return " ".join(path)
+def score_card(head: dict) -> str:
+    """A bar for all significant lines, the part that could go filled in, and the bounds of the grades above it."""
+    sc, s = head["score"], head["stats"]
+    left, wide, top, tall = 80, _WIDTH - 160, 330, 70
+    most = max(2 * K.GRADES[-1][0], sc["slop_percent"] * 1.1)
+    at = lambda v: left + wide * min(v, most) / most
+    bounds = [f'<path d="M{at(b):.0f} {top - 20}V{top + tall}" stroke="#8c959f" stroke-dasharray="4 6"/>' + _text(at(b) - 8, top - 30, g, **{"text-anchor": "end"}) for b, g in K.GRADES]
+    return _svg(
+        _text(left, 110, head["root"], "big"), _text(left, 170, f"{s['functions']:,} functions in {s['files']:,} files"),
+        f'<rect x="{left}" y="{top}" width="{wide}" height="{tall}" rx="8" fill="#eaeef2"/>', f'<rect x="{left}" y="{top}" width="{at(sc["slop_percent"]) - left:.0f}" height="{tall}" rx="8" fill="{_INK[sc["grade"]]}"/>', *bounds,
+        _text(left, 480, f"Grade {sc['grade']}: {sc['slop_percent']:.1f} % repeated", "big"), _text(left, 540, f"{sc['deletable_lines']:,} of {s['significant_lines']:,} lines could be deleted"))
 
 
 def history_card(h: dict) -> str:
-    """An area chart with a mark where growth is counted from."""
-    points, colour = h["series"], _COLOURS[h["current_grade"]]
-    left, top, width, tall = 60.0, 250.0, 1080.0, 260.0
-    most = max(0.1, *(p["slop_percent"] for p in points)) * 1.15
-    at = [(left + width * i / max(1, len(points) - 1), top + tall * (1 - p["slop_percent"] / most)) for i, p in enumerate(points)]
-    line, floor = spline(at), top + tall
-    marks = [f'<circle cx="{x:.1f}" cy="{y:.1f}" r="7" fill="{_DARK}" stroke="{colour}" stroke-width="3"/>' for (x, y), p in zip(at, points, strict=True) if p["date"] == h["growth_since"]][:1]
-    return _svg([_label(60, 96, 34, _TEXT, h["repo"], weight="bold"), _label(60, 142, 22, _DIM, f"{points[0]['date']} → {points[-1]['date']} · {len(points)} snapshots"),
-                 _label(1140, 96, 64, colour, f"{points[-1]['slop_percent']:.1f}%", "end", "bold"), _label(1140, 138, 24, _DIM, f"slop score · grade {h['current_grade']}", "end"),
-                 f'<line x1="{left}" y1="{floor}" x2="{left + width}" y2="{floor}" stroke="{_LINE}" stroke-width="2"/>', f'<path d="{line} L {at[-1][0]:.1f} {floor:.1f} L {at[0][0]:.1f} {floor:.1f} Z" fill="{colour}" fill-opacity="0.2"/>',
-                 f'<path d="{line}" fill="none" stroke="{colour}" stroke-width="4"/>', *marks, _label(60, 556, 30, _TEXT, headline(h), weight="bold")])
+    """Columns, one a snapshot; those from where growth is counted in the grade's ink."""
+    points, ink = h["series"], _INK[h["current_grade"]]
+    left, wide, floor, tall = 80, _WIDTH - 160, 470, 250
+    top, step = max(p["slop_percent"] for p in points) or 1.0, wide / len(points)
+    grown = h["growth_since"] or "~"
+    columns = [f'<rect x="{left + i * step + step * 0.1:.1f}" y="{floor - (t := max(2.0, tall * p["slop_percent"] / top)):.1f}" width="{step * 0.8:.1f}" height="{t:.1f}" fill="{ink if p["date"] >= grown else "#8c959f"}"/>' for i, p in enumerate(points)]
+    return _svg(_text(left, 110, h["repo"], "big"), _text(left, 165, f"Grade {h['current_grade']}: {points[-1]['slop_percent']:.1f} % repeated"), *columns,
+                _text(left, floor + 40, points[0]["date"]), _text(left + wide, floor + 40, points[-1]["date"], **{"text-anchor": "end"}), _text(left, 575, growth(h)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -24,6 +24,11 @@ class Scan:
     files: DataFrame
     config: Config = Config()
     shapes: bool = False
+    began: float = field(default_factory=time.monotonic)
+
+    def elapsed_ms(self) -> int:
+        """Since the scan was set up."""
+        return int((time.monotonic() - self.began) * 1000)
 
     @cached_property
     def analysis(self) -> DataFrame:
@@ -56,11 +61,10 @@ class Scan:
 
     @cached_property
     def stats(self) -> dict:
-        began = time.time()
         n = lambda r: F.count_if(F.col("skip") == r).alias("skipped_" + r.replace("-", "_"))
         row = self.analysis.agg(F.count_if(F.col("skip").isNull()).alias("files"), F.coalesce(F.sum("total_lines"), F.lit(0)).alias("total_lines"), F.coalesce(F.sum("sig_lines"), F.lit(0)).alias("significant_lines"),
                                 F.coalesce(F.sum(F.size("units")), F.lit(0)).alias("functions"), n("generated"), n("minified"), n("non-utf8")).first().asDict()
-        return {**{k: row[k] for k in ("files", "total_lines", "significant_lines", "functions")}, "elapsed_ms": int((time.time() - began) * 1000), **{k: row[k] for k in ("skipped_generated", "skipped_minified", "skipped_non_utf8")}}
+        return {**{k: row[k] for k in ("files", "total_lines", "significant_lines", "functions")}, "elapsed_ms": self.elapsed_ms(), **{k: row[k] for k in ("skipped_generated", "skipped_minified", "skipped_non_utf8")}}
 
     @cached_property
     def score(self) -> dict:

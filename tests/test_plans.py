@@ -48,12 +48,39 @@ def test_scan_report(spark, tmp_path):
     c = doc["clusters"][0]
     assert c["similarity"] >= 0.95 and c["deletable_lines"] == 22 and not c["test_only"] and c["members"][0]["representative"] and "trait_impl_only" not in c
     assert doc["stats"]["skipped_generated"] == 1 and doc["stats"]["skipped_non_utf8"] == 1 and doc["stats"]["functions"] == 4
-    text = R.render(doc)
-    assert "SLOP SCORE" in text and "● Cluster 1 ─ 3 copies · 100% similar · 22 deletable lines" in text and "skipped files: 1 generated · 1 non-utf8" in text
-    assert set(json.loads(R.to_json(doc))) == {"schema_version", "root", "stats", "score", "clusters"}
-    assert "<svg" in R.score_card(doc)
+    assert doc["stats"]["elapsed_ms"] > 0 and R.report(scan, "root")["stats"]["elapsed_ms"] > doc["stats"]["elapsed_ms"]
+    text = "\n".join(R.text_report(scan, "root"))
+    assert "[1] 3 alike at 100%, 22 lines to delete" in text and "left out   1 generated, 1 non-utf8" in text and text.count("keep") == 1 and "grade" in text
+    pieces = []
+    R.stream_json(scan, "root", pieces.append)
+    streamed = json.loads("".join(pieces))
+    assert list(streamed) == ["schema_version", "root", "stats", "score", "clusters"] and streamed["clusters"] == doc["clusters"] and streamed["score"] == doc["score"]
+    assert R.score_card(doc).startswith("<svg")
     read = lambda f: (tmp_path / f).read_text()
-    assert "+export function addUp" in R.explain(c, read) and "│" in R.explain(c, read, columns=120) and "return acc;" in R.explain(c, read, full=True)
+    members = [d for _, m, d in R.ranked_documents(scan.members, scan.clusters, only=1) if m]
+    assert members == c["members"] and list(R.ranked_documents(scan.members, scan.clusters, only=2)) == []
+    one, two, full = ("\n".join(R.explain(members, read, **o)) for o in ({}, {"columns": 120}, {"full": True}))
+    assert "export function ⟦addUp⟧" in one and "≠" in two and "return acc;" in full and "⟦" not in full
+
+
+def test_aligned_lines():
+    a = [f"line {i}" for i in range(20)]
+    b = [*a[:9], "line nine", *a[10:15], *a[16:]]
+    rows = list(R.aligned(a, b, 2))
+    assert [r for r in rows if isinstance(r, int)] == [7, 1, 2]
+    assert (10, "line ⟦9⟧", 10, "line ⟦nine⟧", False) in rows and (16, "line 15", None, "", False) in rows
+    assert [r[0] for r in rows if not isinstance(r, int) and r[4]] == [8, 9, 11, 12, 14, 15, 17, 18]
+    assert list(R.aligned(a, a)) == [20] and list(R.aligned([], [])) == []
+    assert R.wrap("日本語", 4) == ["日本", "語"] and R.gauge(1.0) == "█" * 9 and R.gauge(0.0) == "" and R.shortened("abcdef", 4) == "abc…" and R.shortened("abcdef", 4, end=False) == "…def"
+
+
+def test_explain_of_no_cluster(spark, tmp_path, capsys):
+    write(tmp_path, {"a/one.ts": TS.format(**A), "b/two.ts": TS.format(**B)})
+    assert cli.main(["scan", str(tmp_path), "--explain", "0"]) == 2 and cli.main(["scan", str(tmp_path), "--explain", "2"]) == 2
+    assert "from 1 to 1" in capsys.readouterr().err
+    assert cli.main(["scan", str(tmp_path), "--explain", "1"]) == 0
+    assert "kept: " in capsys.readouterr().out
+    assert cli.main(["scan", str(tmp_path), "--json"]) == 0 and len(json.loads(capsys.readouterr().out)["clusters"]) == 1
 
 
 def test_containment_and_shapes(spark, tmp_path):
@@ -67,8 +94,8 @@ def test_containment_and_shapes(spark, tmp_path):
     assert doc["clusters"] == []
     assert [(c["contained"]["name"], c["container"]["name"]) for c in doc["containment"]] == [("sum_all", "big")]
     assert [[m["name"] for m in c["members"]] for c in doc["class_shapes"]] == [["Customer", "Client"]]
-    assert "2 classes · 100%" in R.render_shapes(doc["class_shapes"]) and "inside a larger function" in R.render_containment(doc["containment"])
-    assert "No duplicate clusters" in R.render(doc)
+    text = "\n".join(R.text_report(scan, "r", containment=True))
+    assert "[1] 2 alike at 100%\n" in text and "stands in big (b.py:1" in text and "Nothing is repeated." in text
 
 
 def test_planted_corpus(spark, tmp_path):
@@ -101,10 +128,10 @@ def check(capsys, repo, *args):
 
 
 def test_check_scenarios(spark, repo, capsys):
-    assert check(capsys, repo) == (0, "echofold check: no changes to check\n")
+    assert check(capsys, repo) == (0, "Nothing has changed.\n")
     write(repo, {"src/copy.ts": "// new\n\n" + TS.format(**B)})
     code, out = check(capsys, repo)
-    assert code == 1 and out.startswith("src/copy.ts:3 addUp() is a 100% duplicate of src/original.ts:1 sum_all()") and "import { sum_all } from './original';" in out
+    assert code == 1 and out.startswith("src/copy.ts:3: addUp repeats sum_all (src/original.ts:1) at 100%") and "import { sum_all } from './original';" in out
     write(repo, {"src/copy.ts": "export function other(q) {\n  return q.items.map(x => x * 2).filter(Boolean);\n}\n"})
     assert check(capsys, repo)[0] == 0
     # edited in place
@@ -146,8 +173,8 @@ def test_history(spark, tmp_path, capsys, monkeypatch):
     values = [p["slop_percent"] for p in doc["series"]]
     assert code == 0 and len(values) == 12 and values[0] == 0.0 and values[-1] > 20 and doc["growth_since"].startswith("2024-0") and doc["series"][0]["date"] == "2024-01"
     assert (tmp_path / "echofold-card.svg").read_text().startswith("<svg")
-    chart = R.render_history(doc)
-    assert "12 snapshots · 2024-01 → 2024-12" in chart and "duplication went from ~0 to" in chart
+    chart = "\n".join(R.history_lines(doc))
+    assert "in 12 snapshots" in chart and chart.count("%") == 14 and "from nothing to" in chart
     assert cli.main(["history", str(tmp_path / "r" / "src"), "--max-snapshots", "1", "--no-card"]) == 2
 
 

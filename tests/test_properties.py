@@ -41,16 +41,20 @@ def test_any_text_is_read(lang, text):
 @given(st.floats(-1, 2), st.text(max_size=20), st.integers(2, 12))
 @settings(max_examples=60, deadline=None)
 def test_report_cells(x, s, most):
-    assert len(R.bar(x)) <= 9 and len(R.cut(s, most)) <= max(most, 0) or len(s) <= most
-    assert len(R.cut_left(s, most)) <= most or len(s) <= most
+    assert len(R.gauge(x)) <= 9 and len(R.shortened(s, most)) <= max(most, 1) and len(R.shortened(s, most, end=False)) <= max(most, 1)
 
 
 @given(st.lists(st.sampled_from(["a", "b", "c"]), max_size=12), st.lists(st.sampled_from(["a", "b", "c"]), max_size=12))
 @settings(max_examples=60, deadline=None)
-def test_side_by_side_shows_all_changes(a, b):
-    rows = R.side_by_side(a, b, 120)
+def test_aligned_lines_lose_nothing(a, b):
+    rows = list(R.aligned(a, b, 1))
+    plain = lambda x: x.replace("⟦", "").replace("⟧", "")
+    shown = [r for r in rows if not isinstance(r, int)]
+    hidden = sum(r for r in rows if isinstance(r, int))
+    assert len([r for r in shown if r[0]]) + hidden == len(a) and len([r for r in shown if r[2]]) + hidden == len(b)
+    assert all((not r[0] or plain(r[1]) == a[r[0] - 1]) and (not r[2] or plain(r[3]) == b[r[2] - 1]) for r in shown)
     changed = sum(max(i2 - i1, j2 - j1) for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op != "equal")
-    assert sum("│" in r for r in rows) == changed
+    assert sum(not r[4] for r in shown) == changed and "\n".join(R.two_columns(rows, 0, 0, 120)).count("≠") == changed
 
 
 @given(st.text(max_size=60), st.integers(2, 20))
