@@ -70,3 +70,52 @@ def test_batch_added_again_replaces_itself(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "unit_id long, batch_no int, fps array<long>")
     assert judge_batches(df).collect() == []
+
+
+def random_records(seed, n, first):
+    rng, same = random.Random(seed), random.Random(99)
+    base = [sorted(same.sample(range(2000), same.choice([2, 5, 12, 30, 60]))) for _ in range(12)]
+    out = []
+    for i in range(n):
+        s = set(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            s ^= {rng.randint(0, 2000)}
+        out.append((first + i, sorted(s or {1})))
+    return out
+
+
+def test_reopened_history_in_buckets(spark, tmp_path, monkeypatch):
+    """A second session goes on where the first ended; several buckets and parts give what one gives."""
+    from echofold.llm import batches
+
+    monkeypatch.setattr(batches, "BUCKET_ROWS", 150)
+    schema = "id long, values array<long>"
+    old, more, new = random_records(1, 60, 0), random_records(2, 60, 100), random_records(3, 60, 200)
+    path = f"file://{tmp_path}/h"
+    h = History(spark, path, theta=0.8)
+    h.accept(spark.createDataFrame(old, schema), 0)
+    h.accept(spark.createDataFrame(more, schema), 1)
+    assert h.buckets > 1
+    again = History(spark, path, theta=0.8)
+    assert again.buckets == h.buckets
+    got = {r.id: (r.original_id, round(r.similarity, 9)) for r in again.judge(spark.createDataFrame(new, schema)).collect()}
+    known = {i: set(s) for i, s in old + more}
+    want = {}
+    for i, s in new:
+        best = max((jaccard(set(s), t), -j) for j, t in known.items())
+        if best[0] >= 0.8:
+            want[i] = (-best[1], round(best[0], 9))
+    assert got == want and got
+    # one record touches few buckets, and only those are read
+    plan = again.judge(spark.createDataFrame(new[:1], schema))
+    assert plan.count() <= 1
+    with pytest.raises(ValueError):
+        History(spark, path, theta=0.9)
+
+
+def test_copies_over_batches(spark):
+    """A rejected set that comes again gets the best original there is by then; copies of an accepted one get that."""
+    a, near, nearer = list(range(20)), [*range(19), 90], [*range(20), 91]
+    rows = [(1, 0, near), (5, 1, a), (6, 2, nearer), (7, 2, nearer), (8, 3, a), (9, 3, nearer), (10, 4, [500, 501]), (11, 4, [500, 501]), (12, 5, [500, 501])]
+    got = {r.unit_id: r.original_id for r in judge_batches(spark.createDataFrame(rows, "unit_id long, batch_no int, fps array<long>"), theta=0.86).collect()}
+    assert got == brute([(i, n, set(s)) for i, n, s in rows], 0.86) and got[12] == 10 and 6 not in got and got[8] == 6
