@@ -15,6 +15,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_records(units, id="unit_id", group="lang", values="fps", theta=0.8).select("a", "b")
 
 
+def _p1_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from .setjoin import similar_record_classes
+
+    units = comparable(unit_rows(table(spark, sf_dir, "units"))).where("lang is not null")
+    return similar_record_classes(units, id="unit_id", group="lang", values="fps", theta=0.8)
+
+
+def p1_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similar pairs of p1 between classes of equal sets, each named by its least unit."""
+    return _p1_classes(spark, sf_dir)[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every comparable unit, and how many links it has to other classes."""
+    links, members = _p1_classes(spark, sf_dir)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.select("rep", F.col("id").alias("unit_id")).join(degree, "rep", "left").select("unit_id", F.col("rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .authorship import not_hand_written
 
@@ -70,4 +89,4 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_class_links, p1_classes, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found, p9_stats)}

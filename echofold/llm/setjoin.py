@@ -1,7 +1,8 @@
 """Near-duplicate records: an exact size-aware heavy-light similarity self-join of sets.
 
 Two sets of sizes t <= s with Jaccard similarity >= theta share at least ``ceil(theta * s)`` values, whatever t.
-Light sets (up to a boundary size) enumerate all k-subsets of a prefix in one global, rarest-first order: with the
+Light sets (up to a boundary size) enumerate all k-subsets of a prefix in one global, rarest-first order (by a frequency sketch of fixed
+size over all sets, then by hash): with the
 prefix of ``s - ceil(theta * s) + k`` values, two similar sets have a k-subset of their prefixes in common. For heavy
 sets the subsets would be too many; they scan inverted lists of single prefix values instead, into which every set
 that can be similar to a heavy one is entered. The boundary between them minimises an estimated cost over the
@@ -22,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .hashing import U64, list_column, mix
+from .hashing import U64, frequencies, list_column, mix, sketch_cells
 
-#: A value counts as hot if its lists hold more than 1/HOT_SHARE of all entries: at most so many values can be hot,
-#: which bounds what is broadcast. Others are ordered by hash; the order touches cost only, not the result.
-HOT_SHARE = 50_000
+#: Members of a class that are expanded together: pairs within and between classes are made block by block of members.
+BLOCK = 256
 
 
 def need(size: int, theta: float) -> int:
@@ -72,12 +72,11 @@ def set_classes(records: DataFrame, *, id: str, group: str, values: str) -> tupl
     return members, classes.drop("k1", "k2")
 
 
-def _signer(hot, theta: float, k: int, boundary: int):
+def _signer(counts, theta: float, k: int, boundary: int):
     """mapInArrow function: (rep, grp_hash, fps) -> (sig, rep, size, kind); kind 0 a light set's subset, 1 an inverted list's
     entry, 2 a heavy set's entry, 3 that of a set too small to be sure of k shared values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = hot.value
         combos: dict[int, np.ndarray] = {}
         low = theta * boundary
         for batch in batches:
@@ -88,10 +87,7 @@ def _signer(hot, theta: float, k: int, boundary: int):
             fps, offsets = list_column(batch.column("fps"))
             sizes = np.diff(offsets)
             row = np.repeat(np.arange(len(rep)), sizes)
-            df = np.zeros(len(fps), dtype=np.int64)
-            if len(values):
-                at = np.minimum(np.searchsorted(values, fps), len(values) - 1)
-                df = np.where(values[at] == fps, counts[at], 0)
+            df = counts.value[sketch_cells(fps)] if len(fps) else fps
             hashed = mix(fps.view(U64))
             ordered = hashed[np.lexsort((hashed, df, row))]
             out: list[tuple[np.ndarray, np.ndarray, int]] = []
@@ -139,15 +135,13 @@ def similar_classes(classes: DataFrame, *, theta: float, k: int = 2) -> DataFram
     spark = classes.sparkSession
     sets = classes.where(F.col("grp").isNotNull() & (F.size("fps") > 0)).select("rep", F.xxhash64("grp").alias("grp"), "fps")
     hist = [(r.s, r.n) for r in sets.groupBy(F.size("fps").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    total = sum(s * n for s, n in hist)
-    df = sets.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("df"))
-    top = F.col("df") > max(4, total // HOT_SHARE)
-    seen = df.agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(top, F.struct("fp", "df"))).alias("hot")).first()
-    hot = sorted((r.fp, r.df) for r in seen.hot)  # fewer than HOT_SHARE values
-    shared = spark.sparkContext.broadcast((np.array([v for v, _ in hot], dtype=np.int64), np.array([n for _, n in hot], dtype=np.int64)))
-    cold = (total - sum(n for _, n in hot)) / max(1, seen.n - len(hot))
-    boundary = light_boundary(hist, max(1.0, cold), theta, k)
-    signed = sets.mapInArrow(_signer(shared, theta, k, boundary), "sig long, rep long, size int, kind int")
+    counts = frequencies(sets, "fps")
+    # prefixes hold rare values, so their lists are as long as those of the rarer half of the entries
+    used = np.sort(counts[counts > 0])
+    cold = used[: np.searchsorted(np.cumsum(used), used.sum() / 2) + 1].mean() if len(used) else 1.0
+    boundary = light_boundary(hist, max(1.0, float(cold)), theta, k)
+    # signed once, read by both sides of the join
+    signed = materialize(sets.mapInArrow(_signer(spark.sparkContext.broadcast(counts), theta, k, boundary), "sig long, rep long, size int, kind int"), "set-signatures")
     a, b = signed.alias("a"), signed.alias("b")
     # the larger set (ties: the larger id) is b; lists are scanned by heavy (2) and tiny (3) sets only
     near = (
@@ -168,19 +162,37 @@ def similar_classes(classes: DataFrame, *, theta: float, k: int = 2) -> DataFram
     )
 
 
-def similar_records(records: DataFrame, *, id: str, group: str, values: str, theta: float = 0.8, k: int = 2) -> DataFrame:
-    """``a, b, similarity`` (a < b) of all pairs of records of one non-null group with Jaccard similarity >= ``theta``.
+def similar_record_classes(records: DataFrame, *, id: str, group: str, values: str, theta: float = 0.8, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(links, members)``: ``links(a, b, similarity)`` (a < b) between classes of equal sets of one non-null group with Jaccard similarity >=
+    ``theta``, and ``members(id, rep, n)``, the class of every record that has a set and a group, by its least id, with its size.
 
-    ``records``: one row an id; ``values`` an array without nulls or repeats. Pairs between classes are expanded over
-    their members, copies of one set among themselves. Ids must not be null; records with an empty set match nothing.
+    The result to keep where copies are many: they cost a row each. Ids must not be null; records with an empty set match nothing.
     """
     sound = records.where(F.col(id).isNotNull() & F.col(group).isNotNull() & (F.size(values) > 0))
     members, classes = set_classes(sound, id=id, group=group, values=values)
-    links = similar_classes(classes, theta=theta, k=k)
-    links = links.unionByName(classes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))
-    left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
+    return similar_classes(classes, theta=theta, k=k), members
+
+
+def similar_records(records: DataFrame, *, id: str, group: str, values: str, theta: float = 0.8, k: int = 2) -> DataFrame:
+    """``a, b, similarity`` (a < b) of all pairs of records of one non-null group with Jaccard similarity >= ``theta``.
+
+    ``records``: one row an id; ``values`` an array without nulls or repeats. The links of ``similar_record_classes`` expanded over
+    their members, copies of one set among themselves. Members are numbered in blocks of about ``BLOCK`` (by hash, their number by the class's
+    size), and a link goes out once for each pair of blocks: that is what travels by key, so that no key holds more than a block's pairs.
+    """
+    links, members = similar_record_classes(records, id=id, group=group, values=values, theta=theta, k=k)
+    members = materialize(members, "class-members")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.select("id", "rep", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    sizes = members.where("id = rep").select("rep", blocks.alias("blocks"), "n")
+    own = sizes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"), F.col("blocks").alias("na"), F.col("blocks").alias("nb"))
+    side = lambda x: sizes.select(F.col("rep").alias(x), F.col("blocks").alias("n" + x))
+    all_ = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "similarity", "na", "nb").unionByName(own)
+    grid = all_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    grid = grid.where("a <> b or i <= j").select("a", "b", "similarity", "i", "j")
+    left, right = placed.select(F.col("rep").alias("a"), F.col("block").alias("i"), F.col("id").alias("ia")), placed.select(F.col("rep").alias("b"), F.col("block").alias("j"), F.col("id").alias("ib"))
     return (
-        links.join(left, "a").join(right, "b")
-        .where((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib")))
+        grid.join(left, ["a", "i"]).join(right, ["b", "j"])
+        .where((F.col("a") != F.col("b")) | (F.col("i") < F.col("j")) | (F.col("ia") < F.col("ib")))
         .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
     )

@@ -30,7 +30,15 @@ def _batches(last: int = 12) -> str:
     return ",\n".join(ctes) + f"\nSELECT q AS unit_id, o AS original_id FROM ({late}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, o) = 1"
 
 
+_CLASSES = f"""WITH {_UNITS}, owned AS (SELECT unit_id, lang, fps, min(unit_id) OVER (PARTITION BY lang, fps) AS rep FROM comp WHERE lang IS NOT NULL),
+rfp AS (SELECT unit_id, lang, unnest(fps) AS f FROM owned WHERE unit_id = rep),
+shared AS (SELECT x.unit_id AS a, y.unit_id AS b, count(*) AS i FROM rfp x JOIN rfp y ON x.f = y.f AND x.lang = y.lang AND x.unit_id < y.unit_id GROUP BY 1, 2),
+links AS (SELECT a, b, i / (len(ca.fps) + len(cb.fps) - i) AS similarity FROM shared JOIN owned ca ON ca.unit_id = a JOIN owned cb ON cb.unit_id = b WHERE i / (len(ca.fps) + len(cb.fps) - i) >= 0.8)"""
+
 SQL = {
+    "p1_class_links": f"{_CLASSES} SELECT a, b, round(similarity, 6) AS similarity FROM links",
+    "p1_classes": f"""{_CLASSES}, degree AS (SELECT rep, count(*) AS n FROM (SELECT a AS rep FROM links UNION ALL SELECT b FROM links) GROUP BY rep)
+SELECT unit_id, owned.rep AS "class", coalesce(n, 0) AS links FROM owned LEFT JOIN degree ON degree.rep = owned.rep""",
     "p1_found": f"WITH {_UNITS}, {_overlaps('ca.lang = cb.lang')} SELECT a, b FROM sims WHERE s >= 0.8",
     "p3_found": """WITH RECURSIVE whole AS (SELECT a, b FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL),
 link AS (SELECT DISTINCT * FROM (SELECT a AS x, b AS y FROM whole UNION ALL SELECT b, a FROM whole)),

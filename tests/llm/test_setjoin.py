@@ -72,3 +72,16 @@ def test_bounds():
     # many subsets are worse than short lists, long lists are worse than few subsets
     assert light_boundary([(200, 10)], 1.0, 0.8, 2) == 0
     assert light_boundary([(8, 1000)], 500.0, 0.8, 2) == 8
+
+
+def test_classes_are_expanded_in_blocks(spark, monkeypatch):
+    """Large classes, by themselves and next to each other, come out pair by pair whatever the blocks are."""
+    import echofold.llm.setjoin as m
+
+    monkeypatch.setattr(m, "BLOCK", 4)
+    rows = [(i, "a", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], None, None) for i in range(0, 60, 2)] + [(i, "a", [1, 2, 3, 4, 5, 6, 7, 8, 9], None, None) for i in range(1, 40, 2)] + [(99, "a", [1, 2, 3, 4, 5, 6, 7, 8, 9, 11], None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.a, r.b) for r in similar_records(df, id="unit_id", group="lang", values="fps", theta=0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.8)
+    links, members = m.similar_record_classes(df, id="unit_id", group="lang", values="fps", theta=0.8)
+    assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (0, 99), (1, 99)} and {(r.id, r.rep) for r in members.collect()} == {(i, 0 if i in range(0, 60, 2) else 1 if i in range(1, 40, 2) else 99) for i, *_ in rows}
