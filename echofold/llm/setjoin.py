@@ -136,10 +136,9 @@ def similar_classes(classes: DataFrame, *, theta: float, k: int = 2) -> DataFram
     sets = classes.where(F.col("grp").isNotNull() & (F.size("fps") > 0)).select("rep", F.xxhash64("grp").alias("grp"), "fps")
     hist = [(r.s, r.n) for r in sets.groupBy(F.size("fps").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()]
     counts = frequencies(sets, "fps")
-    # prefixes hold rare values: their lists are as long as those of the emptier half of the counters
-    used = np.sort(counts[counts > 0])
-    cold = used[: (len(used) + 1) // 2].mean() if len(used) else 1.0
-    boundary = light_boundary(hist, max(1.0, float(cold)), theta, k)
+    total = sum(s * n for s, n in hist)
+    cold = total / max(1, sets.select(F.explode("fps").alias("fp")).agg(F.approx_count_distinct("fp").alias("n")).first().n)
+    boundary = light_boundary(hist, max(1.0, cold), theta, k)
     # signed once, read by both sides of the join
     signed = materialize(sets.mapInArrow(_signer(spark.sparkContext.broadcast(counts), theta, k, boundary), "sig long, rep long, size int, kind int"), "set-signatures")
     a, b = signed.alias("a"), signed.alias("b")
