@@ -47,11 +47,19 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"v": pa.array(v[i : i + (1 << 16)]), "root": pa.array(root[i : i + (1 << 16)])})
 
 
-def connected_groups(edges: DataFrame, *, a: str = "a", b: str = "b", cell_edges: int = 1_000_000, max_side: int = 512) -> DataFrame:
+def grid(edges: int, cores: int, cell_edges: int, least_edges: int) -> tuple[int, int]:
+    """Blocks on a side, and tasks. A hub can hold a third of the edges, all in one row of cells: the row must be wide enough, too."""
+    cells = min(cores, edges / least_edges)
+    side = max(1, math.ceil(math.sqrt(cells)), math.ceil(math.sqrt(edges / cell_edges)), math.ceil(edges / (3 * cell_edges)))
+    return side, max(1, min(side * side, max(math.ceil(cells), math.ceil(2 * edges / cell_edges))))
+
+
+def connected_groups(edges: DataFrame, *, a: str = "a", b: str = "b", cell_edges: int = 1_000_000, least_edges: int = 10_000) -> DataFrame:
     """``v, label``: each vertex of an edge and the least vertex linked to it directly or indirectly.
 
     Edges with a null end link nothing; directions, repeats and self-edges don't matter (a vertex that has but a
-    self-edge isn't listed). ``cell_edges`` is the size aimed at for the cells of one task. An empty table gives an empty one.
+    self-edge isn't listed). The grid has a cell for every core as long as cells hold ``least_edges``, and more so that one holds no more than
+    ``cell_edges``, however many edges there are. An empty table gives an empty one.
     """
     spark = edges.sparkSession
     e = (
@@ -64,12 +72,11 @@ def connected_groups(edges: DataFrame, *, a: str = "a", b: str = "b", cell_edges
         n = e.count()
         if not n:
             break
-        # a hub can hold a third of the edges, all in one row of cells: the row must be wide enough too
-        side = min(max_side, max(1, math.ceil(math.sqrt(n / cell_edges)), math.ceil(n / (3 * cell_edges))))
+        side, tasks = grid(n, spark.sparkContext.defaultParallelism, cell_edges, least_edges)
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
         reps = (
             e.select("a", "b", block("a").alias("i"), block("b").alias("j"))
-            .repartition(max(1, min(side * side, math.ceil(2 * n / cell_edges))), "i", "j").select("a", "b")
+            .repartition(tasks, "i", "j").select("a", "b")
             .mapInArrow(_cells, "v long, root long")
             .groupBy("v").agg(F.min("root").alias("label"), F.collect_set("root").alias("roots"))
         )

@@ -1,6 +1,6 @@
 """Filling containers of fixed capacity: conflict-constrained best-fit.
 
-Items are dealt to groups by hash, each small enough for one task, and every group is packed on its own, largest items
+Items and pieces are dealt to groups by hash, each small enough for one task, and every group is packed on its own, largest items
 first. Its open containers are ordered by what room they have left; each carries a bitmap of the sources and one of the
 duplicate clusters in it. An item takes the tightest container that has room and no conflict: from the container it
 would fill best, the search goes on to the next larger room until one is compatible, and only else opens a new one.
@@ -71,7 +71,8 @@ def packed(items: DataFrame, *, id: str, size: str, source: str, cluster: str, c
     Items without an id are packed like others, and come out without.
     """
     rows = materialize(items.select(F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), F.col(id).isNull().alias("anonymous"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), F.xxhash64(cluster).alias("cluster"), F.col(cluster).isNotNull().alias("clustered")), "pack-items")
-    groups = max(1, math.ceil(rows.count() / group_items))
+    pieces_of = F.greatest(F.lit(0), F.ceil(F.col("size") / capacity))
+    groups = max(1, math.ceil((rows.agg(F.sum(pieces_of).alias("n")).first().n or 0) / group_items))  # of pieces: one text may have any number
     pieces = rows.where("size > 0").select(
         "id", "anonymous", "source", "cluster", "clustered", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / capacity) - 1).cast("int"))).alias("piece"), F.col("size").alias("whole"),
     ).select("id", "anonymous", "piece", F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("int").alias("size"), "source", "cluster", "clustered",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from ..sources.tables import comparable, table, unit_rows
 
 
@@ -49,7 +50,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .termfreq import term_verdicts
 
-    return term_verdicts(unit_rows(table(spark, sf_dir, "units")), values="fps").select(F.col("value").alias("fingerprint"), "verdict")
+    units = materialize(unit_rows(table(spark, sf_dir, "units")).select("fps"), "unit-values")
+    return term_verdicts(units, values="fps").select(F.col("value").alias("fingerprint"), "verdict")
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fingerprint: how often it occurs, in how many units, and its verdict, if any."""
+    from .termfreq import value_counts, with_verdict
+
+    units = materialize(unit_rows(table(spark, sf_dir, "units"), "fingerprints").select("fingerprints"), "unit-values")
+    return with_verdict(value_counts(units, values="fingerprints"), units, values="fingerprints").select(F.col("value").alias("fingerprint"), F.col("n").alias("occurrences"), F.col("records").alias("units"), "verdict")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +75,23 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "ids")
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and read back from its ids."""
+    from .tokens import decoded, encoded
+
+    return decoded(encoded(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "text")
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of a message (same message id, or the same text where it has none) don't share a container."""
+    """Copies of a message (same message id, or the same text where it has none) don't share a container, nor does mail of a public
+    list with that of private boxes."""
     from .packing import packed
     from .tokens import encoded
 
     documents = table(spark, sf_dir, "documents")
     sizes = encoded(documents, count=True).select(F.col("id").alias("doc_id"), "n")
     items = documents.select("doc_id", "source", F.coalesce("message_id", F.xxhash64("text").cast("string")).alias("cluster")).join(sizes, "doc_id")
-    return packed(items, id="doc_id", size="n", source="source", cluster="cluster").withColumnRenamed("id", "doc_id")
+    return packed(items, id="doc_id", size="n", source="source", cluster="cluster", apart=[{"list_archive", x} for x in ("mbox_export", "imap_sync", "eml_dump")]).withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +107,4 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_class_links, p1_classes, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_pack, p9_found, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_class_links, p1_classes, p2_found, p3_found, p4_found, p4_counts, p6_found, p7_ids, p7_decoded, p8_pack, p9_found, p9_stats)}

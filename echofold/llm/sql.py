@@ -48,5 +48,9 @@ SELECT func, min(g) AS group_id FROM reach GROUP BY func""",
     "p4_found": f"""WITH {_UNITS}, n AS (SELECT count(*) AS n FROM units1 WHERE len(fps) > 0),
 terms AS (SELECT f, count(*) AS c FROM (SELECT unnest(fps) AS f FROM units1) GROUP BY f)
 SELECT f AS fingerprint, CASE WHEN c = 1 THEN 'rare' ELSE 'common' END AS verdict FROM terms, n WHERE c = 1 OR c > greatest(10, n // 200)""",
+    "p4_counts": """WITH raw AS (SELECT unit_id, any_value(coalesce(fingerprints, [])) AS fps FROM units WHERE unit_id IS NOT NULL GROUP BY unit_id), each AS (SELECT unit_id, unnest(fps) AS f FROM raw),
+n AS (SELECT count(DISTINCT unit_id) AS n FROM each WHERE f IS NOT NULL), terms AS (SELECT f, count(*) AS c, count(DISTINCT unit_id) AS u FROM each WHERE f IS NOT NULL GROUP BY f)
+SELECT f AS fingerprint, c AS occurrences, u AS units, CASE WHEN u = 1 THEN 'rare' WHEN u > greatest(10, n // 200) THEN 'common' END AS verdict FROM terms, n""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p6_found": _batches(),
 }

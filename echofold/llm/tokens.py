@@ -160,3 +160,34 @@ def encoded(documents: DataFrame, *, id: str = "doc_id", text: str = "text", pat
     else:
         joined = done.groupBy("key", "id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids")).select("id", "ids")
     return short.unionByName(joined)
+
+
+def _decoder(path: str):
+    """(id, ids) -> (id, text): the tokens' bytes laid end to end, and only then read as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, _ = _encoding(path)
+        known = encoding.n_vocab
+        table = pa.array([encoding.decode_single_token_bytes(i) for i in range(known)], pa.large_binary())
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                lists = part.column(1)
+                ids = np.asarray(lists.flatten())
+                if len(ids) and not (0 <= ids.min() and ids.max() < known):
+                    raise ValueError(f"an id is outside 0..{known - 1}")
+                whole = table.take(pa.array(ids))
+                ends = np.frombuffer(whole.buffers()[1], dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+                data = np.frombuffer(whole.buffers()[2], dtype=np.uint8) if len(ids) else np.zeros(0, np.uint8)
+                at = ends[np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))))]
+                texts = [None if null else data[a:b].tobytes().decode("utf-8", "replace") for a, b, null in zip(at, at[1:], np.asarray(lists.is_null()), strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return run
+
+
+def decoded(tokens: DataFrame, *, id: str = "id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """``id, text`` of every row of token ids. No ids give an empty text, a null array a null one; bytes that are no text (ids cut inside a
+    character) become replacement characters, ids that the vocabulary doesn't have are an error."""
+    kind = tokens.schema[id].dataType.simpleString()
+    return tokens.select(F.col(id).alias("id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(_decoder(path or vocabulary_path()), f"id {kind}, text string")

@@ -54,3 +54,17 @@ def test_empty(spark):
     pairs, members = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "func long")
     assert grouped(members, pairs, vertex="func").collect() == []
     assert m.connected_groups(pairs).columns == ["v", "label"]
+
+
+def test_grid_grows_with_edges():
+    assert m.grid(100, 8, 1_000_000, 10_000) == (1, 1) and m.grid(60_000, 8, 1_000_000, 10_000) == (3, 6)
+    for edges in (10**7, 10**9, 10**11, 10**13):
+        side, tasks = m.grid(edges, 400, 1_000_000, 10_000)
+        assert edges / 3 / side <= 1_000_000 and edges / tasks <= 1_000_000
+
+
+def test_a_hub_and_a_path_over_many_cells(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(5000, 5001 + i) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.v: r.label for r in connected_groups(df, cell_edges=10, least_edges=1).collect()}
+    assert got == brute([], edges)

@@ -63,3 +63,10 @@ def test_null_and_huge_ids(spark):
     big = 2**62 + 1
     rows = packed(spark.createDataFrame([(None, 5, None, None), (big, 7, "a", "c"), (None, 0, None, None)], "piece long, n int, s string, container string"), id="piece", size="n", source="s", cluster="container", capacity=10).collect()
     assert sorted((r.id or 0, r.size, r.container is None) for r in rows) == [(0, 0, True), (0, 5, False), (big, 7, False)]
+
+
+def test_a_text_of_many_pieces_is_spread(spark):
+    """Groups are counted in pieces: one long item doesn't fill a group beyond its bound."""
+    rows = packed(spark.createDataFrame([(1, 10_005, "a", None), (2, 3, "a", None)], "d long, n int, s string, c string"), id="d", size="n", source="s", cluster="c", capacity=10, group_items=100).collect()
+    check(rows, [(1, 10_005), (2, 3)], 10)
+    assert len({r.container >> 32 for r in rows}) > 5

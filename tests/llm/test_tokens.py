@@ -46,3 +46,17 @@ def test_white_space_beyond_the_regex_limit():
 
 def test_empty(spark):
     assert encoded(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_decoding_gives_the_texts_back(spark):
+    from echofold.llm.tokens import decoded
+
+    rows = list(enumerate(texts()))
+    back = {r.id: r.text for r in decoded(encoded(spark.createDataFrame(rows, "doc_id long, text string"), chunk=300, overlap=64)).collect()}
+    assert back == {i: t or "" for i, t in rows}
+    ids = encode("日本語 text", PATH).tolist()
+    odd = spark.createDataFrame([(1, ids), (2, ids[:1]), (3, []), (4, None)], "id long, ids array<int>")
+    got = {r.id: r.text for r in decoded(odd).collect()}
+    assert got[1] == "日本語 text" and got[2] in "日本\ufffd" and got[3] == "" and got[4] is None
+    with pytest.raises(Exception, match="outside"):
+        decoded(spark.createDataFrame([(1, [10**7])], "id long, ids array<int>")).collect()
