@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from functools import lru_cache
 from typing import NamedTuple
 
 from .. import constants as K
@@ -67,26 +67,32 @@ LEXERS = {
 
 def rows_of(text: str) -> list[int]:
     """Offsets at which lines begin."""
-    starts = [0]
-    for m in re.finditer("\n", text):
-        starts.append(m.end())
+    starts, at = [0], text.find("\n")
+    while at >= 0:
+        starts.append(at + 1)
+        at = text.find("\n", at + 1)
     return starts
 
 
 def tokenize(lang: str, text: str) -> list[Token]:
     """All tokens but comments."""
-    starts, out, keywords = rows_of(text), [], KEYWORDS[lang]
+    out, keywords, new = [], KEYWORDS[lang], tuple.__new__
+    row, counted = 0, 0
     for m in LEXERS[lang].finditer(text):
         kind = m.lastgroup
         if kind == "com":
             continue
-        word = m.group()
+        a, b = m.span()
+        word = text[a:b]
         if kind == "id" and word in keywords:
             kind = "kw"
-        out.append(Token(kind, word, m.start(), m.end(), bisect_right(starts, m.start()) - 1))
+        row += text.count("\n", counted, a)
+        counted = a
+        out.append(new(Token, (kind, word, a, b, row)))
     return out
 
 
+@lru_cache(maxsize=1 << 14)
 def code_of(text: str) -> int:
     """Stable code of a token that stays as it stands, below the band of operator symbols."""
     return zlib.crc32(text.encode()) % K.OP_BASE

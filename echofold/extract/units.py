@@ -139,12 +139,14 @@ def class_shapes(text: str, is_test: bool = False) -> list[dict]:
 # ---- DataFrames ----------------------------------------------------------------------------------------------------------
 
 
-def analysed(sources: DataFrame, *, min_tokens: int = K.MIN_TOKENS, shapes: bool = False) -> DataFrame:
-    """``key, lang, sig_lines, total_lines, units`` (and ``shapes``) of ``sources(key, lang, is_test, content)``, file by file in parallel.
+def analysed(sources: DataFrame, *, min_tokens: int = K.MIN_TOKENS, shapes: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, lang, sig_lines, total_lines, units`` (and ``shapes``) of ``sources(key, lang, is_test, content)``, file by file in parallel,
+    with the columns of ``keep`` as they are.
 
     A source with a null language or content has no units and null line counts.
     """
     kind = sources.schema["key"].dataType.simpleString()
+    kept = "".join(f", {c} {sources.schema[c].dataType.simpleString()}" for c in keep)
     fields = [pa.field("name", pa.string()), pa.field("start_line", pa.int32()), pa.field("end_line", pa.int32()), pa.field("start_byte", pa.int32()), pa.field("end_byte", pa.int32()),
               pa.field("sig_lines", pa.int32()), pa.field("fps", pa.list_(pa.int64())), pa.field("is_test", pa.bool_()), pa.field("is_trait_impl_method", pa.bool_())]
 
@@ -156,10 +158,10 @@ def analysed(sources: DataFrame, *, min_tokens: int = K.MIN_TOKENS, shapes: bool
                         for lang, test, text in zip(part.column("lang").to_pylist(), part.column("is_test").to_pylist(), part.column("content").to_pylist(), strict=True)]
                 found = [class_shapes(text, bool(test)) if shapes and lang == "csharp" and text else [] for lang, test, text in zip(part.column("lang").to_pylist(), part.column("is_test").to_pylist(), part.column("content").to_pylist(), strict=True)]
                 unit = pa.list_(pa.struct(fields))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[0] for r in rows], unit), pa.array(found, unit)],
-                                                 names=["key", "lang", "sig_lines", "total_lines", "units", "shapes"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[0] for r in rows], unit), pa.array(found, unit), *(part.column(c) for c in keep)],
+                                                 names=["key", "lang", "sig_lines", "total_lines", "units", "shapes", *keep])
 
-    return spread(sources.select("key", "lang", "is_test", "content"), "key").mapInArrow(run, f"key {kind}, lang string, sig_lines int, total_lines int, units array<{UNIT}>, shapes array<{UNIT}>")
+    return spread(sources.select("key", "lang", "is_test", "content", *keep), "key").mapInArrow(run, f"key {kind}, lang string, sig_lines int, total_lines int, units array<{UNIT}>, shapes array<{UNIT}>{kept}")
 
 
 def exploded_units(analysis: DataFrame, column: str = "units", *extra: str) -> DataFrame:

@@ -6,8 +6,11 @@ row that holds on either side (the latest delivery) and compares the sides' row
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from ..scratch import small
 
@@ -32,7 +35,7 @@ def transitions(points: DataFrame, delivered: DataFrame, *, group: str = "repo",
 def snapshot_changes(rows: DataFrame, steps: DataFrame, *, snapshot: str, key: Column, value: Column, version: Column, sides: int = 100_000) -> DataFrame:
     """``snapshot, key, change`` for every key added, removed or changed by a step of ``steps`` (``old, new``).
 
-    ``version`` orders several rows of one snapshot and key: the greatest holds (ties: the greatest row hash). Rows
+    ``version`` (a timestamp or a whole number) orders several rows of one snapshot and key: the greatest holds (ties: the greatest row hash). Rows
     with a null key or value are ignored. Every row is tagged with the steps in which it is the old and the new side,
     at most two, and one aggregation on (step, key) classifies from the two sides' hashes. Keys are as many as rows,
     so that no group can be large; the steps are few, and are broadcast only while fewer than ``sides`` (checked),
@@ -43,13 +46,17 @@ def snapshot_changes(rows: DataFrame, steps: DataFrame, *, snapshot: str, key: C
         F.struct(F.col("old").alias("s"), "step", F.lit(0).alias("side"), "new"),
         F.struct(F.col("new").alias("s"), "step", F.lit(1).alias("side"), "new"))).alias("t")).select("t.*")
     tagged = small(tagged, sides)
-    held = F.max(F.when(F.col("side") == 0, F.struct("version", "value"))), F.max(F.when(F.col("side") == 1, F.struct("version", "value")))
+    held = F.max(F.when(F.col("side") == 0, F.col("row"))), F.max(F.when(F.col("side") == 1, F.col("row")))
+    slim = rows.select(F.col(snapshot).alias("s"), key.alias("key"), version.alias("version"), F.when(value.isNotNull(), F.xxhash64(value)).alias("value")).where("key is not null and value is not null")
+    kind = slim.schema["version"].dataType
+    stamp = F.unix_micros("version") if isinstance(kind, TimestampType) else F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', version)") if isinstance(kind, TimestampNTZType) else F.col("version").cast("long")
+    # version and hash side by side in one decimal of fixed width, so that the aggregation is by hash and not by sorting
+    packed = F.coalesce(stamp, F.lit(-(1 << 62))).cast("decimal(20,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + F.col("value").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)")
     both = (
-        rows.select(F.col(snapshot).alias("s"), key.alias("key"), version.alias("version"), F.when(value.isNotNull(), F.xxhash64(value)).alias("value"))
-        .where("key is not null and value is not null")
-        .join(tagged, "s")
+        slim.select("s", "key", packed.cast("decimal(38,0)").alias("row")).join(tagged, "s")
         .groupBy("new", "step", "key").agg(held[0].alias("was"), held[1].alias("now"))
     )
+    low = lambda c: F.pmod(F.col(c), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))
     change = (F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed")
-              .when(F.col("was.value") != F.col("now.value"), "changed"))
+              .when((F.col("was") != F.col("now")) & (low("was") != low("now")), "changed"))
     return both.select(F.col("new").alias("snapshot"), "key", change.alias("change")).where("change is not null")

@@ -28,13 +28,22 @@ def drop_nested_members(members: DataFrame) -> DataFrame:
 
 
 def drop_nested_clusters(members: DataFrame) -> DataFrame:
-    """Members of the clusters that don't lie, member by member, strictly inside members of one other cluster."""
-    inner = members.select(F.col("cluster").alias("i"), F.col("unit_id").alias("m"), *[F.col(c).alias("i_" + c) for c in PLACE])
-    outer = members.select(F.col("cluster").alias("j"), *[F.col(c).alias("j_" + c) for c in PLACE])
-    inside = ((F.col("i_file_id") == F.col("j_file_id")) & (F.col("i") != F.col("j")) & (F.col("i_start_byte") >= F.col("j_start_byte")) & (F.col("i_end_byte") <= F.col("j_end_byte"))
+    """Members of the clusters that don't lie, member by member, strictly inside members of one other cluster.
+
+    Spans meet by file and bin: one of up to 2^k bytes lies in at most two bins of that width, and what begins in it begins in one of those,
+    so that only spans which overlap are compared, however many a file has.
+    """
+    level = F.ceil(F.log2(F.greatest(F.lit(1), F.col("end_byte") - F.col("start_byte")))).cast("int")
+    bin_ = lambda at, k: F.floor(F.col(at) / F.pow(F.lit(2.0), k)).cast("long")
+    placed = members.where("file_id is not null and start_byte is not null and end_byte is not null")
+    inner = placed.select(F.col("cluster").alias("i"), F.col("unit_id").alias("m"), *[F.col(c).alias("i_" + c) for c in PLACE], F.explode(F.sequence(level, F.lit(31))).alias("level"))
+    inner = inner.withColumn("bin", bin_("i_start_byte", F.col("level")))
+    outer = placed.select(F.col("cluster").alias("j"), *[F.col(c).alias("j_" + c) for c in PLACE], level.alias("level"))
+    outer = outer.withColumn("bin", F.explode(F.array_distinct(F.array(bin_("j_start_byte", F.col("level")), bin_("j_end_byte", F.col("level"))))))
+    inside = ((F.col("i_file_id") == F.col("j_file_id")) & (F.col("level") == F.col("o_level")) & (F.col("bin") == F.col("o_bin")) & (F.col("i") != F.col("j")) & (F.col("i_start_byte") >= F.col("j_start_byte")) & (F.col("i_end_byte") <= F.col("j_end_byte"))
               & ((F.col("i_start_byte") != F.col("j_start_byte")) | (F.col("i_end_byte") != F.col("j_end_byte"))))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    covered = inner.join(outer, inside).select("i", "j", "m").distinct().groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+    covered = inner.join(outer.withColumnsRenamed({"level": "o_level", "bin": "o_bin"}), inside).select("i", "j", "m").distinct().groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
     gone = covered.join(sizes, F.col("i") == F.col("cluster")).where("n = size").select("cluster").distinct()
     return members.join(gone, "cluster", "left_anti")
 

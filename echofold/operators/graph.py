@@ -16,6 +16,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
     e, was = materialize(e, "edges"), None
+    if e.isEmpty():
+        return e.select("v", F.col("u").alias("label"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours hang below the least of the neighbourhood

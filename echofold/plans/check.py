@@ -66,7 +66,7 @@ def check(spark: SparkSession, path: str, config: Config = Config(), revision: s
         return rows
 
     tree = wanted(git.trees(repo, spark.createDataFrame([(base_commit,)], "commit string")).withColumn("size", F.lit(0)))
-    base = units(git.blobs(repo, tree.select("oid", "file", "lang", "is_test").repartition(32), K.MAX_FILE_BYTES), "base-units")
+    base = units(git.blobs(repo, tree.select("oid", "file", "lang", "is_test").repartition(4 * spark.sparkContext.defaultParallelism), K.MAX_FILE_BYTES), "base-units")
     files = hunks.select(F.col("path").alias("file")).distinct()
     now = units(wanted(git.new_side(repo, mode, files).withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)))), "new-units")
     # ids of the two sides must differ although file and span may not

@@ -34,14 +34,14 @@ def series(spark: SparkSession, repo: str, snapshots: DataFrame, config: Config
     The snapshot is part of every key: units of one snapshot and language are compared among themselves, in the same joins for
     all. A blob is analysed once a language, whatever the number of paths and snapshots it stands under.
     """
-    tree = git.trees(repo, snapshots.select("commit").repartition(32)).withColumn("size", F.lit(0))
+    tree = git.trees(repo, snapshots.select("commit").repartition(4 * spark.sparkContext.defaultParallelism)).withColumn("size", F.lit(0))
     tree = scannable(tree, default_excludes=config.default_excludes, skip_tests=config.skip_tests)
     for glob in config.excludes:
         from .check import _glob
 
         tree = tree.where(~F.col("file").rlike(_glob(glob)))
     tree = materialize(tree.select("commit", "oid", "file", "lang", "is_test"), "trees")
-    todo = tree.select("oid", "lang").distinct().repartition(32)
+    todo = tree.select("oid", "lang").distinct().repartition(4 * spark.sparkContext.defaultParallelism)
     text = with_skip_reason(git.blobs(repo, todo, K.MAX_FILE_BYTES)).where("skip is null").select(F.concat_ws(":", "oid", "lang").alias("key"), "lang", F.lit(False).alias("is_test"), "content")
     done = materialize(analysed(text, min_tokens=config.min_tokens).select(F.split("key", ":")[0].alias("oid"), "lang", "sig_lines", "units"), "blobs")
     placed = tree.join(done, ["oid", "lang"])

@@ -13,13 +13,14 @@ from .. import constants as K
 from ..extract.units import analysed, exploded_units, scannable, with_skip_reason
 from ..operators import clusters as C
 from ..operators import pairs as P
-from ..scratch import materialize
+from ..scratch import materialize, spread
 from .config import Config
 
 
 @dataclass
 class Scan:
-    """``files(file, size, content)`` and everything derived from it. What several results need is written once."""
+    """``files(file, size, content)`` and everything derived from it; a row that comes again counts once. What several results need is
+    written once."""
 
     files: DataFrame
     config: Config = Config()
@@ -33,10 +34,11 @@ class Scan:
     @cached_property
     def analysis(self) -> DataFrame:
         """``key, lang, skip, sig_lines, total_lines, units, shapes`` of every scanned file."""
-        rows = with_skip_reason(scannable(self.files, default_excludes=self.config.default_excludes, skip_tests=self.config.skip_tests)).withColumnRenamed("file", "key")
-        done = analysed(rows.withColumn("content", F.when(F.col("skip").isNull(), F.col("content"))), min_tokens=self.config.min_tokens, shapes=self.shapes)
-        # the reason is told again from the key, so that content passes the extractor once
-        return materialize(done.join(rows.select("key", "skip"), "key"), "analysis")
+        rows = with_skip_reason(spread(scannable(self.files, default_excludes=self.config.default_excludes, skip_tests=self.config.skip_tests), "file")).withColumnRenamed("file", "key")
+        rows = rows.withColumn("text", F.xxhash64("content")).withColumn("content", F.when(F.col("skip").isNull(), F.col("content")))
+        done = analysed(rows, min_tokens=self.config.min_tokens, shapes=self.shapes, keep=("skip", "text"))
+        # repeated rows of a file are dropped by what came out, so that content is never shuffled for it
+        return materialize(done.dropDuplicates(["key", "text"]).drop("text"), "analysis")
 
     @cached_property
     def units(self) -> DataFrame:

@@ -482,7 +482,7 @@ def _scan(spark: SparkSession, sf_dir: str, shapes: bool = False):
     from .plans.config import Config
     from .plans.scan import Scan
 
-    files = table(spark, sf_dir, "files").where("path is not null").select(F.concat_ws("/", "repo", compared_path(F.col("path"))).alias("file"), F.col("size_bytes").alias("size"), "content").distinct()
+    files = table(spark, sf_dir, "files").where("path is not null").select(F.concat_ws("/", "repo", compared_path(F.col("path"))).alias("file"), F.col("size_bytes").alias("size"), "content")
     return Scan(files, Config(min_tokens=20), shapes=shapes)
 
 

@@ -8,7 +8,6 @@ a folder of the session's own is taken and set.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -22,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     conf = conf or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="echofold-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         conf = "file://" + own
@@ -71,11 +72,3 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def local_scratch(spark: SparkSession) -> str | None:
-    """The shared folder as a plain path when it is mounted as a file system, else None."""
-    uri = shared_dir(spark)
-    if uri.startswith("file:"):
-        return "/" + uri[len("file:"):].lstrip("/")
-    return None if "://" in uri else os.path.abspath(uri)

@@ -127,3 +127,13 @@ def test_winnowing_properties():
         b = np.concatenate((rng.integers(100, 197, 31), planted, rng.integers(100, 197, 60)))
         assert set(fingerprint(a)) & set(fingerprint(b))
     assert len(fingerprint(np.arange(9))) == 0 and len(fingerprint(np.arange(12))) == 1
+
+
+def test_codes_of_words_and_signs_differ():
+    """Every reserved word and operator of a language has a code of its own."""
+    from echofold.extract.lexer import KEYWORDS, code_of
+
+    signs = "=> -> :: ++ -- && || ?? ?. <= >= == != += -= *= /= %= &= ^= ** .. ... ".split() + list("<>=!+-*/%&|^~?:;,.(){}[]@#$\\`'\"")
+    for lang, words in KEYWORDS.items():
+        codes = [code_of(x) for x in {*words, *signs}]
+        assert len(codes) == len(set(codes)), lang

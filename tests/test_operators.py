@@ -345,7 +345,7 @@ def test_stream_of_changes(spark, tmp_path):
     assert sorted((r.unit_id, r.original_id, r.original_file) for r in spark.read.parquet(out).collect()) == [(11, 1, "f"), (13, 2, "f")]
 
 
-def test_entry_without_llm():
+def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "p5_found" in e.queries()
